@@ -8,6 +8,7 @@ on the real case/indicator files or on the driver-table mapping.
 from __future__ import annotations
 
 import datetime as _dt
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -35,14 +36,41 @@ class Params:
     digits: int = 6  # rounding of correlations and skewness in results
 
 
-@dataclass
 class Inputs:
-    cases_raw: DataFrame
-    expenditure_wide: DataFrame
-    arrivals_wide: DataFrame
+    """The three input tables, each built only when first used (a query
+    that needs no indicator never plans one)."""
+
+    def __init__(
+        self,
+        cases_raw: DataFrame | Callable[[], DataFrame],
+        expenditure_wide: DataFrame | Callable[[], DataFrame],
+        arrivals_wide: DataFrame | Callable[[], DataFrame],
+    ) -> None:
+        self._make = {"cases_raw": cases_raw, "expenditure_wide": expenditure_wide, "arrivals_wide": arrivals_wide}
+        self._built: dict[str, DataFrame] = {}
+
+    def _get(self, name: str) -> DataFrame:
+        if name not in self._built:
+            src = self._make[name]
+            self._built[name] = src if isinstance(src, DataFrame) else src()
+        return self._built[name]
+
+    @property
+    def cases_raw(self) -> DataFrame:
+        return self._get("cases_raw")
+
+    @property
+    def expenditure_wide(self) -> DataFrame:
+        return self._get("expenditure_wide")
+
+    @property
+    def arrivals_wide(self) -> DataFrame:
+        return self._get("arrivals_wide")
 
     def clean_cases(self) -> DataFrame:
-        return cleaning.clean_case_table(self.cases_raw)
+        if "clean" not in self._built:
+            self._built["clean"] = cleaning.clean_case_table(self.cases_raw)
+        return self._built["clean"]
 
 
 def cases_per_country(clean: DataFrame, on: _dt.date | Column) -> DataFrame:

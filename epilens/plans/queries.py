@@ -28,9 +28,9 @@ PREVIEW_ROWS = 50
 
 def inputs(spark: SparkSession, sf_dir: str) -> A.Inputs:
     return A.Inputs(
-        case_table(spark, sf_dir),
-        indicator_wide(spark, sf_dir, "expenditure"),
-        indicator_wide(spark, sf_dir, "arrivals"),
+        lambda: case_table(spark, sf_dir),
+        lambda: indicator_wide(spark, sf_dir, "expenditure"),
+        lambda: indicator_wide(spark, sf_dir, "arrivals"),
     )
 
 

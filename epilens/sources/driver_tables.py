@@ -141,20 +141,20 @@ def indicator_wide(spark: SparkSession, sf_dir: str, indicator: str) -> DataFram
     base = shipments_by_nation_year(spark, sf_dir)
     keys = ["r_regionkey", "r_name", "n_nationkey", "n_name"]
 
+    # one conditional sum per year (a pivot that also works under grouping sets)
     def per_year(y: str) -> list[Column]:
-        hit = F.col("year") == int(y)
         if indicator == "arrivals":
-            return [F.sum(F.when(hit, F.col("qty"))).alias(y)]
+            return [F.expr(f"sum(CASE WHEN year = {y} THEN qty END) AS `{y}`")]
         return [
-            F.sum(F.when(hit, F.col("disc_cents"))).alias(f"_d{y}"),
-            F.sum(F.when(hit, F.col("gross_cents"))).alias(f"_g{y}"),
+            F.expr(f"sum(CASE WHEN year = {y} THEN disc_cents END) AS _d{y}"),
+            F.expr(f"sum(CASE WHEN year = {y} THEN gross_cents END) AS _g{y}"),
         ]
 
     def value(y: str) -> Column:
         if indicator == "arrivals":
-            return F.col(f"`{y}`").cast("double").alias(y)
+            return F.expr(f"CAST(`{y}` AS DOUBLE) AS `{y}`")
         # basis points by exact integer division, then percent
-        return (F.expr(f"(_d{y} * 10000) div _g{y}").cast("double") / F.lit(100.0)).alias(y)
+        return F.expr(f"CAST((_d{y} * 10000) div _g{y} AS DOUBLE) / 100.0D AS `{y}`")
 
     wide = base.groupingSets([keys, keys[:2], []], *keys).agg(
         F.grouping("n_nationkey").alias("_gn"),

@@ -65,11 +65,25 @@ def write_csv(df: DataFrame, path: str, *, delimiter: str = ",", header: bool =
     return path
 
 
+_RELATIONS: dict[tuple[int, str], DataFrame] = {}
+
+
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    df = spark.read.parquet(path)
+    """Parquet relation; the handle (file listing + footer schema, no data)
+    is kept per session and path, like a catalog table. Column selection
+    prunes the scan's ReadSchema."""
+    key = (id(spark), path)
+    df = _RELATIONS.get(key)
+    if df is None:
+        df = _RELATIONS[key] = spark.read.parquet(path)
     return df.select(*columns) if columns else df
 
 
+def forget_relations() -> None:
+    """Drop the cached relation handles (after files were replaced)."""
+    _RELATIONS.clear()
+
+
 def register_view(df: DataFrame, name: str) -> DataFrame:
     """Name a DataFrame for SQL, replacing an older view of that name."""
     df.createOrReplaceTempView(name)
