@@ -82,13 +82,16 @@ def case_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``MM/dd/yyyy`` text).
 
     A series starts at its first report and is carried forward to the last
-    month of the data: the running sum is taken over the months that have
+    month of the orders table: the running sum is taken over the months that have
     reports, and each report row is expanded (``sequence``) up to the month
     before the next report. No keys x dates cross join, and one window
     partition holds one series' months, never the raw rows.
     """
     monthly = new_cases(spark, sf_dir)
-    last_month = monthly.agg(F.max("month")).scalar()
+    # The reporting period ends with the last month of the orders table: a
+    # scalar subquery over one column (partial max per task), no join.
+    orders = _table(spark, sf_dir, "orders", ["o_orderdate"])
+    last_month = orders.agg(F.max(F.trunc(F.to_date("o_orderdate"), "month"))).scalar()
     by_series = Window.partitionBy(*SERIES_KEYS).orderBy("month")
     runs = monthly.select(
         *SERIES_KEYS,

@@ -38,7 +38,8 @@ runs AS (
 dense AS (
   SELECT Case_Type, iso3, Province_State, Cases,
          CAST(UNNEST(generate_series(CAST(month AS TIMESTAMP),
-              CAST(COALESCE(next_month - INTERVAL 1 MONTH, (SELECT MAX(month) FROM monthly)) AS TIMESTAMP),
+              CAST(COALESCE(next_month - INTERVAL 1 MONTH,
+                   (SELECT MAX(CAST(date_trunc('month', o_orderdate) AS DATE)) FROM orders)) AS TIMESTAMP),
               INTERVAL 1 MONTH)) AS DATE) AS day
   FROM runs),
 pop AS (
