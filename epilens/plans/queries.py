@@ -225,6 +225,18 @@ def q_lag_bucketed(spark, d):
     return global_lag(event_values(spark, d), "value_cents", ["ts", "event_id"], "prev_value_cents")
 
 
+def q_stream_totals_by_date(spark, d):
+    """The case table lands as CSV files in a folder; a streaming query
+    folds them into worldwide totals per date (several micro-batches, state
+    per date) and the finished table is read back."""
+    from ..streaming import case_file_stream, run_to_table, totals_by_date_stream
+
+    folder = write_csv(case_table(spark, d).repartition(4), staging_path(spark, "case-files"))
+    table = staging_path(spark, "stream-totals")
+    run_to_table(totals_by_date_stream(case_file_stream(spark, folder, files_per_batch=1)), table, staging_path(spark, "stream-ckpt"))
+    return spark.read.parquet(table)
+
+
 # ---- chart data ------------------------------------------------------------
 
 
@@ -295,6 +307,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lag_previous_row": q_lag_previous_row,
     "daily_new_cases": q_daily_new_cases,
     "lag_bucketed": q_lag_bucketed,
+    "stream_totals_by_date": q_stream_totals_by_date,
     "chart_series_by_key": q_chart_series_by_key,
     "chart_share_by_key": q_chart_share_by_key,
     "chart_share_deaths_by_key": q_chart_share_deaths_by_key,

@@ -260,6 +260,7 @@ def oracle_sql() -> dict[str, str]:
         "corr_all_pairs": _all_pairs(),
         "skewness_measure": _with(SKEW),
         "worldwide_total_by_date": _with(WORLDWIDE),
+        "stream_totals_by_date": _with(WORLDWIDE),
         "lag_previous_row": _with(
             f"SELECT Date, Number_Of_Cases, LAG(Number_Of_Cases) OVER (ORDER BY Date) AS Previous_Number_Of_Cases FROM ({WORLDWIDE}) w"
         ),
