@@ -11,8 +11,9 @@ HEADER = "Case_Type,Cases,Date,Combined_Key,Province_State,iso3,Population_Count
 
 
 def _write(folder, name, lines):
-    os.makedirs(folder, exist_ok=True)
-    with open(os.path.join(folder, name), "w") as fh:
+    local = folder[len("file:"):] if folder.startswith("file:") else folder
+    os.makedirs(local, exist_ok=True)
+    with open(os.path.join(local, name), "w") as fh:
         fh.write(HEADER + "".join(line + "\n" for line in lines))
 
 
