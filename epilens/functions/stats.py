@@ -45,3 +45,11 @@ def population_skewness(x: str | Column) -> Column:
     """Population skewness  sqrt(n) * sum((x-mu)^3) / sum((x-mu)^2)^1.5,
     null for empty or constant input (Spark's ``skewness``)."""
     return F.skewness(_c(x))
+
+
+def cents(x: str | Column, scale: int = 100) -> Column:
+    """``CAST(round(x * scale) AS BIGINT)`` -- half away from zero -- without
+    ``round``'s per-row BigDecimal: floor(|v| + 0.5) with the sign restored,
+    a plain arithmetic expression inside whole-stage codegen."""
+    v = _c(x) * F.lit(float(scale))
+    return F.when(v >= 0, F.floor(v + 0.5)).otherwise(-F.floor(-v + 0.5)).cast("bigint")

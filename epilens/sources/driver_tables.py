@@ -24,7 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .files import read_parquet
+from ..functions.stats import cents
+from .files import keep_per_session, read_parquet
 
 # Order status -> case type, and the indicator metadata.
 CASE_TYPE_OF_STATUS = {"F": "Confirmed", "O": "Deaths", "P": "Active"}
@@ -57,26 +58,34 @@ def _case_type(status: Column) -> Column:
 def new_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New cases per (case type, country, province, month): the non-cumulative
     observations. Orders x customers is the one large join; the aggregate
-    right after it is partial, so a hot key is combined map-side."""
+    right after it is partial, so a hot key is combined map-side. Rows are
+    grouped by the raw keys and the codes (``Case_Type``, ``iso3``) are
+    derived from the few aggregated rows, not per order; a filter on them
+    still reaches the orders scan (the mapping is one-to-one)."""
     orders = _table(spark, sf_dir, "orders", ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"])
     customer = _table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey", "c_mktsegment"])
-    obs = orders.join(customer, orders["o_custkey"] == customer["c_custkey"]).select(
+    joined = orders.join(customer, orders["o_custkey"] == customer["c_custkey"])
+    monthly = joined.groupBy(
+        "o_orderstatus", "c_nationkey", "c_mktsegment", F.trunc(F.to_date("o_orderdate"), "month").alias("month")
+    ).agg(F.sum(cents("o_totalprice")).alias("new_cases"))
+    return monthly.select(
         _case_type(F.col("o_orderstatus")).alias("Case_Type"),
         country_code("c_nationkey").alias("iso3"),
         F.col("c_mktsegment").alias("Province_State"),
-        F.trunc(F.to_date("o_orderdate"), "month").alias("month"),
-        F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"),
+        "month",
+        "new_cases",
     )
-    return obs.groupBy(*SERIES_KEYS, "month").agg(F.sum("cents").alias("new_cases"))
 
 
 def population(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = _table(spark, sf_dir, "customer", ["c_nationkey", "c_mktsegment"])
-    return customer.groupBy(
-        country_code("c_nationkey").alias("iso3"), F.col("c_mktsegment").alias("Province_State")
-    ).agg(F.count(F.lit(1)).alias("Population_Count"))
+    per_region = customer.groupBy("c_nationkey", "c_mktsegment").agg(F.count(F.lit(1)).alias("Population_Count"))
+    return per_region.select(
+        country_code("c_nationkey").alias("iso3"), F.col("c_mktsegment").alias("Province_State"), "Population_Count"
+    )
 
 
+@keep_per_session
 def case_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cumulative case table in the layout of the case CSV (date as
     ``MM/dd/yyyy`` text).
@@ -120,8 +129,8 @@ def shipments_by_nation_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _table(spark, sf_dir, "lineitem", ["l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate"])
     per_supplier = li.groupBy("l_suppkey", F.year("l_shipdate").alias("year")).agg(
         F.sum("l_quantity").alias("qty"),
-        F.sum(F.round(F.col("l_extendedprice") * F.col("l_discount") * 100).cast("bigint")).alias("disc_cents"),
-        F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("gross_cents"),
+        F.sum(cents(F.col("l_extendedprice") * F.col("l_discount"))).alias("disc_cents"),
+        F.sum(cents("l_extendedprice")).alias("gross_cents"),
     )
     supplier = _table(spark, sf_dir, "supplier", ["s_suppkey", "s_nationkey"])
     nation = _table(spark, sf_dir, "nation", ["n_nationkey", "n_name", "n_regionkey"])
@@ -136,6 +145,7 @@ def shipments_by_nation_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@keep_per_session
 def indicator_wide(spark: SparkSession, sf_dir: str, indicator: str) -> DataFrame:
     """Wide indicator table: Country Name, Country Code, Indicator Name,
     Indicator Code, then one double column per year. Region (``R01``) and
@@ -181,4 +191,4 @@ def indicator_wide(spark: SparkSession, sf_dir: str, indicator: str) -> DataFram
 def event_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with an integer value (cents) and a unique order (ts, event_id)."""
     ev = _table(spark, sf_dir, "events", ["event_id", "ts", "value"])
-    return ev.select("event_id", "ts", F.round(F.col("value") * 100).cast("bigint").alias("value_cents"))
+    return ev.select("event_id", "ts", cents("value").alias("value_cents"))

@@ -65,7 +65,7 @@ def write_csv(df: DataFrame, path: str, *, delimiter: str = ",", header: bool =
     return path
 
 
-_RELATIONS: dict[tuple[int, str], DataFrame] = {}
+_RELATIONS: dict[tuple, DataFrame] = {}
 
 
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -74,16 +74,36 @@ def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = Non
     prunes the scan's ReadSchema."""
     key = (id(spark), path)
     df = _RELATIONS.get(key)
-    if df is None:
+    if df is None or df.sparkSession is not spark:
         df = _RELATIONS[key] = spark.read.parquet(path)
     return df.select(*columns) if columns else df
 
 
 def forget_relations() -> None:
-    """Drop the cached relation handles (after files were replaced)."""
+    """Drop the kept relation handles and derived plans (after files were
+    replaced)."""
     _RELATIONS.clear()
 
 
+def keep_per_session(build):
+    """Keep the DataFrame (a lazy plan, no data) a builder returns, per
+    session and arguments: an input table is planned once and every query
+    derives from the same plan, as one would keep a cleaned table in a
+    variable. Nothing is cached in memory or on disk."""
+
+    def wrapper(spark: SparkSession, *args):
+        key = (build.__module__, build.__qualname__, id(spark), args)
+        df = _RELATIONS.get(key)
+        if df is None or df.sparkSession is not spark:
+            df = _RELATIONS[key] = build(spark, *args)
+        return df
+
+    wrapper.__doc__ = build.__doc__
+    wrapper.__name__ = build.__name__
+    wrapper.__wrapped__ = build
+    return wrapper
+
+
 def register_view(df: DataFrame, name: str) -> DataFrame:
     """Name a DataFrame for SQL, replacing an older view of that name."""
     df.createOrReplaceTempView(name)
