@@ -29,8 +29,8 @@ PREVIEW_ROWS = 50
 def inputs(spark: SparkSession, sf_dir: str) -> A.Inputs:
     return A.Inputs(
         lambda: case_table(spark, sf_dir),
-        lambda: indicator_wide(spark, sf_dir, "expenditure"),
-        lambda: indicator_wide(spark, sf_dir, "arrivals"),
+        lambda: indicator_wide(spark, sf_dir, "expenditure", (P.expenditure_year,)),
+        lambda: indicator_wide(spark, sf_dir, "arrivals", (P.arrivals_year,)),
     )
 
 
