@@ -37,12 +37,6 @@ def _as_cols(order: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
-def _num_ranges(df: DataFrame, num_ranges: int | None) -> int:
-    if num_ranges:
-        return num_ranges
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def global_row_number(
     df: DataFrame, order: Sequence[str | Column], name: str = "row_number", num_ranges: int | None = None
 ) -> DataFrame:
@@ -50,18 +44,20 @@ def global_row_number(
     ``order`` must be unique (add the key as the last element)."""
     ensure_checkpoint_dir(df.sparkSession)
     cols = _as_cols(order)
-    n = _num_ranges(df, num_ranges)
+    # Without an explicit count AQE may merge small adjacent ranges; merged
+    # ranges are still contiguous and in order, so positions stay correct.
+    ranged = df.repartitionByRange(num_ranges, *cols) if num_ranges else df.repartitionByRange(*cols)
     mid = F.monotonically_increasing_id()
     placed = (
-        df.repartitionByRange(n, *cols)
-        .sortWithinPartitions(*cols)
+        ranged.sortWithinPartitions(*cols)
         .withColumn("_mid", mid)
         .select("*", F.shiftright("_mid", _LOW_BITS).alias(_BUCKET), (F.col("_mid").bitwiseAND((1 << _LOW_BITS) - 1)).alias(_LOCAL))
         .drop("_mid")
         .checkpoint(eager=True)
     )
     counts = placed.groupBy(_BUCKET).agg(F.count(F.lit(1)).alias("_cnt"))
-    # at most n rows: the running offset over ranges is a tiny global window
+    # one row per range (at most spark.sql.shuffle.partitions): the running
+    # offset over ranges is a tiny global window, and a proven-small broadcast
     offsets = counts.select(
         _BUCKET,
         F.coalesce(

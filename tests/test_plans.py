@@ -61,3 +61,21 @@ def test_indicator_join_not_forced_broadcast(spark):
     join strategy is AQE's, from measured sizes."""
     df = Q.QUERIES["join_arrivals_cases"](spark, SF_SMALL)
     assert "broadcast" not in plan_text(df, "extended").split("== Analyzed Logical Plan ==")[1].split("== Optimized")[0].lower()
+
+
+def test_partial_aggregate_before_first_shuffle(spark):
+    """Orders are combined map-side right after the join: the first exchange
+    above the orders scan carries partial sums, not order rows."""
+    text = plan_text(Q.QUERIES["snapshot_cases_by_key"](spark, SF_SMALL), "formatted")
+    tree = text.split("\n\n")[0]
+    lines = tree.splitlines()
+    scan = max(i for i, line in enumerate(lines) if "Scan parquet" in line and "(1)" in line)
+    above = [line.strip() for line in lines[:scan]]
+    first_exchange = max(i for i, line in enumerate(above) if line.lstrip("+-: ").startswith("Exchange"))
+    assert "HashAggregate" in above[first_exchange + 1]
+
+
+def test_lineitem_year_range_is_pushed(spark):
+    text = plan_text(Q.QUERIES["corr_arrivals_cases"](spark, SF_SMALL))
+    pushed = [line for line in text.splitlines() if line.startswith("PushedFilters") and "l_shipdate" in line]
+    assert pushed and "GreaterThanOrEqual(l_shipdate" in pushed[0] and "LessThan(l_shipdate" in pushed[0]
