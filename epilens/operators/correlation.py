@@ -60,3 +60,14 @@ def correlation(df: DataFrame, factor: str, measure: str, digits: int | None = N
 def skewness(df: DataFrame, column: str, name: str | None = None, digits: int | None = None) -> DataFrame:
     """``select(skewness(column))``: population skewness, one row."""
     return df.select(_rounded(population_skewness(col(column)), digits).alias(name or f"skewness({column})"))
+
+
+def report_lines(corr: DataFrame, digits: int = 6) -> DataFrame:
+    """The printed sentence of the reference as a column, one per pair:
+    ``The correlation between <factor> and <measure> is: <value>``."""
+    value = F.format_string(f"%.{digits}f", F.col("correlation"))
+    text = F.concat(
+        F.lit("The correlation between "), F.col("factor"), F.lit(" and "), F.col("measure"), F.lit(" is: "),
+        F.coalesce(value, F.lit("undefined")),
+    )
+    return corr.select("measure", "factor", text.alias("report"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import date_literal
-from ..functions.names import col
+from ..functions.names import col, quote
 from .cleaning import CONFIRMED, DEATHS
 from .ordering import global_row_number
 
@@ -85,7 +85,9 @@ def measures_by_key(
 
 
 def count_distinct_keys(df: DataFrame, key: str = "iso3", name: str = "Number_Of_Countries") -> DataFrame:
-    return df.select(F.count_distinct(col(key)).alias(name))
+    """``selectExpr("count(distinct(iso3)) AS Number_Of_Countries")``: an
+    aggregate written as SQL text. Exact; nulls are not counted."""
+    return df.selectExpr(f"count(DISTINCT {quote(key)}) AS {quote(name)}")
 
 
 def rank_by_measure(df: DataFrame, measure: str, key: str = "iso3", name: str = "rank") -> DataFrame:

@@ -168,6 +168,16 @@ def q_count_distinct_keys(spark, d):
     return snapshot.count_distinct_keys(_clean(spark, d))
 
 
+def q_count_distinct_arrivals_keys(spark, d):
+    """Countries in the arrivals table after its null drop (S:262)."""
+    return snapshot.count_distinct_keys(A.arrivals_factor(inputs(spark, d), P))
+
+
+def q_count_distinct_expenditure_keys(spark, d):
+    """Countries in the health-expenditure table after its null drop (S:294)."""
+    return snapshot.count_distinct_keys(A.expenditure_factor(inputs(spark, d), P))
+
+
 # ---- snapshots and ranking ----------------------------------------------
 
 
@@ -201,6 +211,10 @@ def q_corr_all_pairs(spark, d):
     return A.all_factor_correlations(inputs(spark, d), P)
 
 
+def q_corr_report(spark, d):
+    return correlation.report_lines(A.all_factor_correlations(inputs(spark, d), P), P.digits)
+
+
 def q_skewness_measure(spark, d):
     return correlation.skewness(_cases(spark, d), "Number_Of_Cases", digits=P.digits)
 
@@ -278,6 +292,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "filter_snapshot_date": q_filter_snapshot_date,
     "indicator_year_column": q_indicator_year_column,
     "count_distinct_keys": q_count_distinct_keys,
+    "count_distinct_arrivals_keys": q_count_distinct_arrivals_keys,
+    "count_distinct_expenditure_keys": q_count_distinct_expenditure_keys,
     "snapshot_cases_by_key": _cases,
     "snapshot_deaths_by_key": _deaths,
     "snapshot_avg_by_key": q_snapshot_avg_by_key,
@@ -302,6 +318,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "corr_arrivals_cases": _corr("arrivals", "Number_Of_Cases"),
     "corr_arrivals_deaths": _corr("arrivals", "Number_Of_Deaths"),
     "corr_all_pairs": q_corr_all_pairs,
+    "corr_report": q_corr_report,
     "skewness_measure": q_skewness_measure,
     "worldwide_total_by_date": q_worldwide_total_by_date,
     "lag_previous_row": q_lag_previous_row,

@@ -236,6 +236,10 @@ def oracle_sql() -> dict[str, str]:
             True,
         ),
         "count_distinct_keys": _with("SELECT COUNT(DISTINCT iso3) AS Number_Of_Countries FROM cases_clean"),
+        "count_distinct_arrivals_keys": _with("SELECT COUNT(DISTINCT iso3) AS Number_Of_Countries FROM arrivals", True),
+        "count_distinct_expenditure_keys": _with(
+            "SELECT COUNT(DISTINCT iso3) AS Number_Of_Countries FROM expenditure", True
+        ),
         "snapshot_cases_by_key": _with("SELECT * FROM cases_per_country"),
         "snapshot_deaths_by_key": _with("SELECT * FROM deaths_per_country"),
         "snapshot_avg_by_key": _with(
@@ -258,6 +262,10 @@ def oracle_sql() -> dict[str, str]:
         ),
         "preview_first_50": _with(f"SELECT {CLEAN_COLS} FROM cases_clean ORDER BY {CLEAN_COLS} LIMIT 50"),
         "corr_all_pairs": _all_pairs(),
+        "corr_report": (
+            "SELECT measure, factor, 'The correlation between ' || factor || ' and ' || measure || ' is: ' || "
+            "COALESCE(printf('%.6f', correlation), 'undefined') AS report FROM (" + _all_pairs() + ") c"
+        ),
         "skewness_measure": _with(SKEW),
         "worldwide_total_by_date": _with(WORLDWIDE),
         "stream_totals_by_date": _with(WORLDWIDE),

@@ -111,3 +111,10 @@ def test_split_keeps_other_case_types_out(fixture_inputs):
     assert {r["Case_Type"] for r in cases.collect()} == {"Confirmed"}
     assert "Deaths" in deaths.columns and "Cases" not in deaths.columns
     assert cases.count() + deaths.count() == 13  # the Active row is in neither
+
+
+def test_report_lines(fixture_inputs):
+    rows = correlation.report_lines(A.all_factor_correlations(fixture_inputs, P)).collect()
+    texts = {r["report"] for r in rows}
+    assert "The correlation between Population and Number_Of_Cases is: -0.150252" in texts
+    assert f"The correlation between {ARR} and Number_Of_Deaths is: 0.737652" in texts
