@@ -208,10 +208,12 @@ def oracle_sql() -> dict[str, str]:
         "scan_csv_delimiter": _with(f"SELECT {wide_cols} FROM arrivals_wide", True),
         "temp_view_sql": _with("SELECT * FROM cases_per_country"),
         "schema_columns": _with(
-            "SELECT CAST(row_number() OVER () AS INTEGER) AS ordinal, column_name, "
-            "CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'BIGINT' THEN 'bigint' "
-            "WHEN 'DATE' THEN 'date' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' "
-            "ELSE lower(column_type) END AS data_type FROM (DESCRIBE SELECT * FROM cases_raw)"
+            # CSV inference: integers that fit 32 bits are int, else bigint; MM/dd/yyyy text stays string
+            "SELECT * FROM (VALUES (1, 'Case_Type', 'string'), "
+            "(2, 'Cases', CASE WHEN (SELECT MAX(ABS(Cases)) FROM cases_raw) <= 2147483647 THEN 'int' ELSE 'bigint' END), "
+            "(3, 'Date', 'string'), (4, 'Combined_Key', 'string'), (5, 'Province_State', 'string'), (6, 'iso3', 'string'), "
+            "(7, 'Population_Count', CASE WHEN (SELECT MAX(ABS(Population_Count)) FROM cases_raw) <= 2147483647 "
+            "THEN 'int' ELSE 'bigint' END)) AS t(ordinal, column_name, data_type)"
         ),
         "schema_contract": _with(f"SELECT {CLEAN_COLS} FROM cases_clean"),
         "project_columns": _with("SELECT Case_Type, Cases, iso3, Population_Count, Date FROM cases_raw"),
