@@ -141,3 +141,40 @@ def series_over_time(clean: DataFrame, case_type: str) -> DataFrame:
     value = "Cases" if case_type == CONFIRMED else "Deaths"
     rows = clean.where(clean["Case_Type"] == case_type).withColumnRenamed("Cases", value)
     return chartdata.series_over_time(rows, value, "Date", value)
+
+
+def all_results(inputs: Inputs, p: Params) -> dict[str, DataFrame]:
+    """Every result of the reference notebook, by name (lazy DataFrames):
+    what one would ``display`` or print, cell by cell."""
+    clean = inputs.clean_cases()
+    cases = cases_per_country(clean, p.snapshot_date)
+    deaths = deaths_per_country(clean, p.snapshot_date)
+    exp_label, arr_label = expenditure_label(p.expenditure_year), arrivals_label(p.arrivals_year)
+    joins = {
+        (f, m): factor_join(inputs, p, f, m)
+        for f in ("expenditure", "arrivals")
+        for m in ("Number_Of_Cases", "Number_Of_Deaths")
+    }
+    correlations = all_factor_correlations(inputs, p)
+    out = {
+        "clean_cases": clean,
+        "countries": snapshot.count_distinct_keys(clean),
+        "cases_per_country": cases,
+        "deaths_per_country": deaths,
+        "scatter_population_cases": factors.scatter(cases, "Population", "Number_Of_Cases"),
+        "scatter_population_deaths": factors.scatter(deaths, "Population", "Number_Of_Deaths"),
+        "share_of_cases": chartdata.share_by_key(cases, "iso3", "Number_Of_Cases"),
+        "share_of_deaths": chartdata.share_by_key(deaths, "iso3", "Number_Of_Deaths"),
+        "skewness_of_cases": correlation.skewness(cases, "Number_Of_Cases", digits=p.digits),
+        "correlations": correlations,
+        "correlation_report": correlation.report_lines(correlations, p.digits),
+        "cases_over_time": series_over_time(clean, CONFIRMED),
+        "deaths_over_time": series_over_time(clean, DEATHS),
+        "daily_new_cases": daily_new_cases(clean),
+    }
+    for (f, m), df in joins.items():
+        short = "cases" if m == "Number_Of_Cases" else "deaths"
+        label = exp_label if f == "expenditure" else arr_label
+        out[f"{f}_vs_{short}"] = df
+        out[f"scatter_{f}_{short}"] = factors.scatter(df, label, m)
+    return out
