@@ -74,12 +74,12 @@ class Inputs:
 
 
 def cases_per_country(clean: DataFrame, on: _dt.date | Column) -> DataFrame:
-    """S:326 -- iso3, Number_Of_Cases, Population on the snapshot date."""
+    """iso3, Number_Of_Cases, Population on the snapshot date (C1)."""
     return snapshot.snapshot_totals(clean, CONFIRMED, on, "Number_Of_Cases")
 
 
 def deaths_per_country(clean: DataFrame, on: _dt.date | Column) -> DataFrame:
-    """S:346 -- iso3, Number_Of_Deaths, Population."""
+    """iso3, Number_Of_Deaths, Population on the snapshot date (C2)."""
     return snapshot.snapshot_totals(clean, DEATHS, on, "Number_Of_Deaths")
 
 
@@ -126,13 +126,13 @@ def all_factor_correlations(inputs: Inputs, p: Params) -> DataFrame:
 
 
 def worldwide_cases_by_date(clean: DataFrame) -> DataFrame:
-    """S:580 -- Date, Number_Of_Cases over all Confirmed rows."""
+    """Date, Number_Of_Cases summed over all Confirmed rows (AG4)."""
     return timeseries.totals_by_date(clean.where(clean["Case_Type"] == CONFIRMED), "Cases", "Date", "Number_Of_Cases")
 
 
 def daily_new_cases(clean: DataFrame) -> DataFrame:
     """C11 -- worldwide cumulative total per date, then the change from the
-    previous row (S:582-584)."""
+    previous row (WN1, WN2)."""
     return timeseries.with_first_difference(worldwide_cases_by_date(clean), "Number_Of_Cases", "Date")
 
 

@@ -173,12 +173,12 @@ def q_count_distinct_keys(spark, d):
 
 
 def q_count_distinct_arrivals_keys(spark, d):
-    """Countries in the arrivals table after its null drop (S:262)."""
+    """Countries in the arrivals table after its null drop (AG1)."""
     return snapshot.count_distinct_keys(A.arrivals_factor(inputs(spark, d), P))
 
 
 def q_count_distinct_expenditure_keys(spark, d):
-    """Countries in the health-expenditure table after its null drop (S:294)."""
+    """Countries in the health-expenditure table after its null drop (AG1)."""
     return snapshot.count_distinct_keys(A.expenditure_factor(inputs(spark, d), P))
 
 
