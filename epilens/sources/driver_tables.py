@@ -135,10 +135,10 @@ def _ship_year_range(years: tuple[str, ...]) -> Column:
     return pred
 
 
-def shipments_by_nation_year(spark: SparkSession, sf_dir: str, years: tuple[str, ...] | None = None) -> DataFrame:
+def shipments_by_supplier_year(spark: SparkSession, sf_dir: str, years: tuple[str, ...] | None = None) -> DataFrame:
     """Line items pre-aggregated per (supplier, year) *before* the supplier
-    join, then rolled up to (region, nation, year). With ``years`` only those
-    ship years are read."""
+    join, tagged with nation and region. With ``years`` only those ship
+    years are read."""
     li = _table(spark, sf_dir, "lineitem", ["l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate"])
     if years:
         li = li.where(_ship_year_range(years))
@@ -150,13 +150,13 @@ def shipments_by_nation_year(spark: SparkSession, sf_dir: str, years: tuple[str,
     supplier = _table(spark, sf_dir, "supplier", ["s_suppkey", "s_nationkey"])
     nation = _table(spark, sf_dir, "nation", ["n_nationkey", "n_name", "n_regionkey"])
     region = _table(spark, sf_dir, "region", ["r_regionkey", "r_name"])
-    joined = (
+    # one row per (supplier, year) with its nation and region; the wide
+    # table's grouping sets sum these directly (no separate nation-year step)
+    return (
         per_supplier.join(supplier, per_supplier["l_suppkey"] == supplier["s_suppkey"])
         .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
         .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-    )
-    return joined.groupBy("r_regionkey", "r_name", "n_nationkey", "n_name", "year").agg(
-        F.sum("qty").alias("qty"), F.sum("disc_cents").alias("disc_cents"), F.sum("gross_cents").alias("gross_cents")
+        .select("r_regionkey", "r_name", "n_nationkey", "n_name", "year", "qty", "disc_cents", "gross_cents")
     )
 
 
@@ -168,7 +168,7 @@ def indicator_wide(spark: SparkSession, sf_dir: str, indicator: str, years: tupl
     ``years`` limits the table to the year columns an analysis will pick, so
     only those ship years are scanned and aggregated."""
     name, code = INDICATORS[indicator]
-    base = shipments_by_nation_year(spark, sf_dir, years)
+    base = shipments_by_supplier_year(spark, sf_dir, years)
     keys = ["r_regionkey", "r_name", "n_nationkey", "n_name"]
     wanted = [y for y in YEARS if not years or y in years]
 
