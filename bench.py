@@ -46,7 +46,7 @@ EXTRA = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    runs = int(os.environ.get("BENCH_RUNS", "5"))
+    runs = int(os.environ.get("BENCH_RUNS", "7"))
     names = [n for n in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE + EXTRA)).split(",") if n]
 
     from epilens import build_session
