@@ -68,9 +68,13 @@ class Inputs:
         return self._get("arrivals_wide")
 
     def clean_cases(self) -> DataFrame:
-        if "clean" not in self._built:
-            self._built["clean"] = cleaning.clean_case_table(self.cases_raw)
-        return self._built["clean"]
+        return self.derived("clean", lambda: cleaning.clean_case_table(self.cases_raw))
+
+    def derived(self, key, build: Callable[[], DataFrame]) -> DataFrame:
+        """A frame derived from the inputs, planned once (plans, not data)."""
+        if key not in self._built:
+            self._built[key] = build()
+        return self._built[key]
 
 
 def cases_per_country(clean: DataFrame, on: _dt.date | Column) -> DataFrame:
@@ -84,11 +88,17 @@ def deaths_per_country(clean: DataFrame, on: _dt.date | Column) -> DataFrame:
 
 
 def expenditure_factor(inputs: Inputs, p: Params) -> DataFrame:
-    return factors.indicator_factor(inputs.expenditure_wide, p.expenditure_year, expenditure_label(p.expenditure_year))
+    return inputs.derived(
+        ("expenditure", p.expenditure_year),
+        lambda: factors.indicator_factor(inputs.expenditure_wide, p.expenditure_year, expenditure_label(p.expenditure_year)),
+    )
 
 
 def arrivals_factor(inputs: Inputs, p: Params) -> DataFrame:
-    return factors.indicator_factor(inputs.arrivals_wide, p.arrivals_year, arrivals_label(p.arrivals_year))
+    return inputs.derived(
+        ("arrivals", p.arrivals_year),
+        lambda: factors.indicator_factor(inputs.arrivals_wide, p.arrivals_year, arrivals_label(p.arrivals_year)),
+    )
 
 
 def factor_join(inputs: Inputs, p: Params, factor: str, measure: str) -> DataFrame:

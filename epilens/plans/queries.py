@@ -15,7 +15,7 @@ from ..operators import chartdata, cleaning, contract, correlation, factors, sna
 from ..operators.cleaning import CASE_COLUMNS, CONFIRMED, DEATHS
 from ..operators.ordering import global_lag
 from ..sources import case_table, event_values, indicator_wide
-from ..sources.files import read_csv, register_view, write_csv
+from ..sources.files import keep_per_session, read_csv, register_view, write_csv
 from ..session import staging_path
 from . import analyses as A
 
@@ -26,7 +26,10 @@ TOP_N = 10
 PREVIEW_ROWS = 50
 
 
+@keep_per_session
 def inputs(spark: SparkSession, sf_dir: str) -> A.Inputs:
+    """The three inputs over the driver tables at ``sf_dir``, one set per
+    session (each built on first use)."""
     return A.Inputs(
         lambda: case_table(spark, sf_dir),
         lambda: indicator_wide(spark, sf_dir, "expenditure", (P.expenditure_year,)),

@@ -94,7 +94,7 @@ def keep_per_session(build):
     def wrapper(spark: SparkSession, *args):
         key = (build.__module__, build.__qualname__, id(spark), args)
         df = _RELATIONS.get(key)
-        if df is None or df.sparkSession is not spark:
+        if df is None or getattr(df, "sparkSession", spark) is not spark:
             df = _RELATIONS[key] = build(spark, *args)
         return df
 
