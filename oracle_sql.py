@@ -251,7 +251,7 @@ def oracle_sql() -> dict[str, str]:
         "latest_snapshot": _with(
             "SELECT iso3, CAST(SUM(Cases) AS BIGINT) AS Number_Of_Cases, CAST(SUM(Population_Count) AS BIGINT) AS Population, "
             "MAX(Date) AS Date FROM cases_clean WHERE Case_Type = 'Confirmed' "
-            "AND Date = (SELECT MAX(Date) FROM cases_clean) GROUP BY iso3"
+            "AND Date = (SELECT MAX(Date) FROM cases_clean WHERE Case_Type = 'Confirmed') GROUP BY iso3"
         ),
         "rank_keys_by_measure": _with(
             "SELECT iso3, Number_Of_Cases, Population, "
