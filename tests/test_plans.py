@@ -40,10 +40,15 @@ def test_not_null_reaches_parquet(spark):
 
 
 def test_case_type_filter_pushed_below_window(spark):
-    text = plan_text(Q.QUERIES["snapshot_cases_by_key"](spark, SF_SMALL), "extended")
-    physical = text.split("== Physical Plan ==")[1]
-    scan_line = next(line for line in physical.splitlines() if "FileScan parquet" in line and "o_orderstatus" in line)
-    assert "o_orderstatus" in scan_line and "DataFilters: [CASE WHEN" in scan_line
+    """The Confirmed filter is applied on the orders scan output (through the
+    window, the aggregate and the join), not after the cumulative table."""
+    text = plan_text(Q.QUERIES["snapshot_cases_by_key"](spark, SF_SMALL), "formatted")
+    blocks = [b.strip() for b in text.split("\n\n")]
+    nodes = {b.splitlines()[0].strip(): b for b in blocks if b.startswith("(")}
+    scan = next(k for k, b in nodes.items() if k.startswith("(1) Scan parquet"))
+    assert "o_orderstatus" in nodes[scan]
+    above = next(b for k, b in nodes.items() if k.startswith("(2) Filter"))
+    assert "o_orderstatus" in above and "= F) THEN true" in above
 
 
 def test_ranking_has_no_single_partition_over_rows(spark):
