@@ -93,3 +93,14 @@ def test_share_total_from_subquery_equals_sum(spark):
     df = spark.createDataFrame([("a", 1), ("b", 3), ("a", 4)], "k string, v long")
     got = {r["k"]: r["share"] for r in chartdata.share_by_key(df, "k", "v").collect()}
     assert got == {"a": 5 / 8, "b": 3 / 8}
+
+
+def test_global_row_number_with_coalesced_ranges(spark):
+    """No explicit range count: AQE may merge adjacent ranges; numbering must
+    stay equal to the single-partition window, also with a hot value."""
+    rnd = random.Random(3)
+    data = [(i, 5 if i % 3 == 0 else rnd.randint(0, 10_000)) for i in range(3000)]
+    df = spark.createDataFrame(data, "id long, k long")
+    got = {r["id"]: r["rn"] for r in global_row_number(df, [F.col("k").desc(), "id"], "rn").collect()}
+    ref = df.withColumn("rn", F.row_number().over(Window.orderBy(F.col("k").desc(), "id")))
+    assert got == {r["id"]: r["rn"] for r in ref.collect()}
