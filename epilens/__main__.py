@@ -27,6 +27,7 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--arrivals-year", default="2018")
     ap.add_argument("--out", required=True)
     ap.add_argument("--cluster", action="store_true", help="large-input sizing (CLUSTER_CONF)")
+    ap.add_argument("--no-materialize", action="store_true", help="re-derive the clean table for every result")
     args = ap.parse_args(argv)
 
     spark = build_session(cluster=args.cluster)
@@ -34,6 +35,9 @@ def main(argv: list[str] | None = None) -> None:
         read_csv(spark, args.cases), read_csv(spark, args.expenditure), read_csv(spark, args.arrivals)
     )
     p = Params(dt.date.fromisoformat(args.date), args.expenditure_year, args.arrivals_year)
+    if not args.no_materialize:
+        # one cleaning pass for all results; the table sits next to them
+        inputs = inputs.materialize(f"{args.out.rstrip('/')}/_clean_cases")
     for name, df in all_results(inputs, p).items():
         df.write.mode("overwrite").parquet(f"{args.out.rstrip('/')}/{name}")
 

@@ -70,6 +70,29 @@ class Inputs:
     def clean_cases(self) -> DataFrame:
         return self.derived("clean", lambda: cleaning.clean_case_table(self.cases_raw))
 
+    def materialize(self, path: str) -> Inputs:
+        """Write the clean case table once as Parquet under ``path`` (a folder
+        every executor sees, e.g. below ``spark.checkpoint.dir``) and return
+        inputs that read it back: many analyses then share one cleaning pass
+        instead of re-deriving it per action, and the lineage is cut.
+
+        Files are partitioned by case type (a case-type filter reads one
+        folder) and sorted by date inside each task (row-group statistics let
+        a date filter skip the rest). No repartition: each task writes its
+        own rows, so a hot case type is not funnelled into one writer."""
+        clean = self.clean_cases()
+        (
+            clean.sortWithinPartitions("Case_Type", "Date")
+            .write.mode("overwrite")
+            .partitionBy("Case_Type")
+            .parquet(path)
+        )
+        back = clean.sparkSession.read.parquet(path).select(*clean.columns)
+        out = Inputs(self.cases_raw, self._make["expenditure_wide"], self._make["arrivals_wide"])
+        out._built.update({k: v for k, v in self._built.items() if k not in ("clean",)})
+        out._built["clean"] = back
+        return out
+
     def derived(self, key, build: Callable[[], DataFrame]) -> DataFrame:
         """A frame derived from the inputs, planned once (plans, not data)."""
         if key not in self._built:

@@ -118,3 +118,15 @@ def test_report_lines(fixture_inputs):
     texts = {r["report"] for r in rows}
     assert "The correlation between Population and Number_Of_Cases is: -0.150252" in texts
     assert f"The correlation between {ARR} and Number_Of_Deaths is: 0.737652" in texts
+
+
+def test_materialized_inputs_give_same_results(spark, fixture_inputs):
+    from epilens.session import staging_path
+
+    m = fixture_inputs.materialize(staging_path(spark, "t-mat"))
+    for name in ("cases_per_country", "correlations", "daily_new_cases", "deaths_over_time"):
+        a = A.all_results(fixture_inputs, P)[name]
+        b = A.all_results(m, P)[name]
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())), name
+    text = m.clean_cases().where("Case_Type = 'Confirmed' AND Date = DATE'2020-04-19'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(Case_Type" in text and "Date" in text.split("PushedFilters")[1][:200]
