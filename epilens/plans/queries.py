@@ -214,6 +214,17 @@ def q_preview_first_50(spark, d):
     return snapshot.preview(_clean(spark, d), PREVIEW_ROWS)
 
 
+def q_preview_arrivals_50(spark, d):
+    """The cleaned arrivals table (code, year value), first 50 by code."""
+    ind = cleaning.indicator_year(inputs(spark, d).arrivals_wide, P.arrivals_year)
+    return snapshot.preview(ind, PREVIEW_ROWS)
+
+
+def q_preview_expenditure_50(spark, d):
+    ind = cleaning.indicator_year(inputs(spark, d).expenditure_wide, P.expenditure_year)
+    return snapshot.preview(ind, PREVIEW_ROWS)
+
+
 # ---- statistics ----------------------------------------------------------
 
 
@@ -311,6 +322,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rank_keys_by_measure": q_rank_keys_by_measure,
     "top_n_keys": q_top_n_keys,
     "preview_first_50": q_preview_first_50,
+    "preview_arrivals_50": q_preview_arrivals_50,
+    "preview_expenditure_50": q_preview_expenditure_50,
     "join_expenditure_cases": _join("expenditure", "Number_Of_Cases"),
     "join_expenditure_deaths": _join("expenditure", "Number_Of_Deaths"),
     "join_arrivals_cases": _join("arrivals", "Number_Of_Cases"),

@@ -263,6 +263,12 @@ def oracle_sql() -> dict[str, str]:
             "FROM cases_per_country) r WHERE rank <= 10"
         ),
         "preview_first_50": _with(f"SELECT {CLEAN_COLS} FROM cases_clean ORDER BY {CLEAN_COLS} LIMIT 50"),
+        "preview_arrivals_50": _with(
+            f'SELECT iso3, "{ARR}" AS "{ARR_YEAR}" FROM arrivals ORDER BY iso3, "{ARR_YEAR}" LIMIT 50', True
+        ),
+        "preview_expenditure_50": _with(
+            f'SELECT iso3, "{EXP}" AS "{EXP_YEAR}" FROM expenditure ORDER BY iso3, "{EXP_YEAR}" LIMIT 50', True
+        ),
         "corr_all_pairs": _all_pairs(),
         "corr_report": (
             "SELECT measure, factor, 'The correlation between ' || factor || ' and ' || measure || ' is: ' || "
