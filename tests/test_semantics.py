@@ -144,3 +144,22 @@ def test_checkpoint_dir_comes_from_session(spark):
     assert root
     assert staging_path(spark, "x").startswith(root)
     assert os.path.basename(staging_path(spark, "x")) != os.path.basename(staging_path(spark, "x"))
+
+
+def test_trailing_comma_header_is_harmless(spark, tmp_path):
+    p = tmp_path / "trail.csv"
+    p.write_text("Country Name,Country Code,2018,\nA,AAA,1.5,\nB,BBB,,\n")
+    df = read_csv(spark, str(p))
+    assert df.columns[-1].startswith("_c")
+    assert [tuple(r) for r in cleaning.indicator_year(df, "2018").collect()] == [("AAA", 1.5)]
+
+
+def test_distributed_lag_equals_plain_on_daily_series(spark):
+    from epilens.operators.timeseries import with_first_difference
+    from epilens.plans import queries as Q
+    from conftest import SF_SMALL
+
+    daily = Q.A.worldwide_cases_by_date(Q._clean(spark, SF_SMALL))
+    plain = {r["Date"]: r["Number of New Cases"] for r in with_first_difference(daily, "Number_Of_Cases").collect()}
+    dist = {r["Date"]: r["Number of New Cases"] for r in with_first_difference(daily, "Number_Of_Cases", distributed=True).collect()}
+    assert plain == dist
