@@ -87,7 +87,9 @@ class Inputs:
             .partitionBy("Case_Type")
             .parquet(path)
         )
-        back = clean.sparkSession.read.parquet(path).select(*clean.columns)
+        # the known schema also types the partition column (no inference of
+        # folder names: a numeric-looking case type stays a string)
+        back = clean.sparkSession.read.schema(clean.schema).parquet(path).select(*clean.columns)
         out = Inputs(self.cases_raw, self._make["expenditure_wide"], self._make["arrivals_wide"])
         out._built.update({k: v for k, v in self._built.items() if k not in ("clean",)})
         out._built["clean"] = back
