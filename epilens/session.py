@@ -40,6 +40,9 @@ CLUSTER_CONF: dict[str, str] = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256MB",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512MB",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    # coalesce to the advisory size, not to the default parallelism: no
+    # swarm of near-empty tasks after the aggregates on a shared cluster
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
 }
 
 
