@@ -104,3 +104,14 @@ def test_global_row_number_with_coalesced_ranges(spark):
     got = {r["id"]: r["rn"] for r in global_row_number(df, [F.col("k").desc(), "id"], "rn").collect()}
     ref = df.withColumn("rn", F.row_number().over(Window.orderBy(F.col("k").desc(), "id")))
     assert got == {r["id"]: r["rn"] for r in ref.collect()}
+
+
+@HSET
+@given(st.lists(st.integers(-10**9, 10**9), min_size=1, max_size=50), st.sampled_from([100, 1000, 10000]))
+def test_cents_equals_round(spark, ints, scale):
+    from epilens.functions import cents
+
+    vals = [i / scale for i in ints] + [0.125, -0.125, 1.005, 2.675, -2.675, 12.5 / 100]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    rows = df.select(cents("x").alias("a"), F.round(F.col("x") * 100).cast("bigint").alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in rows)
