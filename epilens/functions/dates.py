@@ -7,9 +7,9 @@ import datetime as _dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The case files write dates as month/day/year. ``M/d/yyyy`` accepts both
-# padded (04/09/2020) and unpadded (4/9/2020) text; ``MM/dd/yyyy`` would
-# raise on the latter under ANSI mode.
+# The case files write dates as month/day/year (fixed.CASE_DATE_PATTERN,
+# MM/dd/yyyy). ``M/d/yyyy`` parses that and also unpadded text (4/9/2020),
+# on which the padded pattern raises under ANSI mode.
 CASE_DATE_FORMAT = "M/d/yyyy"
 
 

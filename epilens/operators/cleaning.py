@@ -10,13 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..fixed import CASE_COLUMNS, CONFIRMED, COUNTRY_CODE, DEATHS
 from ..functions.dates import CASE_DATE_FORMAT, parse_date
 from ..functions.names import col
 from .contract import CASE_CONTRACT, INDICATOR_CONTRACT, assert_schema
 
-CASE_COLUMNS = ["Case_Type", "Cases", "iso3", "Population_Count", "Date"]
-CONFIRMED = "Confirmed"
-DEATHS = "Deaths"
+__all__ = [
+    "CASE_COLUMNS", "CONFIRMED", "DEATHS", "clean_case_table", "drop_null_rows", "filter_value", "indicator_year",
+    "not_null", "parse_date_column", "project", "rename", "split_by_case_type",
+]
 
 
 def project(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -81,7 +83,7 @@ def clean_case_table(raw: DataFrame, fmt: str = CASE_DATE_FORMAT, strict: bool =
 
 
 def indicator_year(
-    wide: DataFrame, year: str | int, key: str = "Country Code", new_key: str = "iso3", value_name: str | None = None
+    wide: DataFrame, year: str | int, key: str = COUNTRY_CODE, new_key: str = "iso3", value_name: str | None = None
 ) -> DataFrame:
     """(code, value of one year) from a wide table, nulls dropped. The year
     column is cast to double: an all-empty year infers as string."""

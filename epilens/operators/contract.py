@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..fixed import COUNTRY_CODE
+
 # Families accepted for a contract entry: inference may give int where the
 # contract says bigint, so numeric columns are checked by family.
 _FAMILIES: dict[str, tuple[type, ...]] = {
@@ -27,7 +29,7 @@ CASE_CONTRACT = {
     "Date": "date_or_string",
 }
 CLEAN_CASE_CONTRACT = {**CASE_CONTRACT, "Date": "date"}
-INDICATOR_CONTRACT = {"Country Code": "string"}
+INDICATOR_CONTRACT = {COUNTRY_CODE: "string"}
 
 
 class SchemaContractError(ValueError):

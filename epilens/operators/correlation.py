@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..fixed import REPORT_FORMAT
 from ..functions.names import col
 from ..functions.stats import pair_count, population_skewness, safe_corr
 
@@ -66,8 +67,5 @@ def report_lines(corr: DataFrame, digits: int = 6) -> DataFrame:
     """The printed sentence of the reference as a column, one per pair:
     ``The correlation between <factor> and <measure> is: <value>``."""
     value = F.format_string(f"%.{digits}f", F.col("correlation"))
-    text = F.concat(
-        F.lit("The correlation between "), F.col("factor"), F.lit(" and "), F.col("measure"), F.lit(" is: "),
-        F.coalesce(value, F.lit("undefined")),
-    )
+    text = F.format_string(REPORT_FORMAT, F.col("factor"), F.col("measure"), F.coalesce(value, F.lit("undefined")))
     return corr.select("measure", "factor", text.alias("report"))

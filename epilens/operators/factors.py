@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from ..fixed import COUNTRY_CODE
 from ..functions.names import col
 from .cleaning import indicator_year
 from .contract import unique_key_check
@@ -13,7 +14,7 @@ def indicator_factor(
     wide: DataFrame,
     year: str | int,
     factor_name: str,
-    key: str = "Country Code",
+    key: str = COUNTRY_CODE,
     new_key: str = "iso3",
     check_unique: bool = True,
 ) -> DataFrame:

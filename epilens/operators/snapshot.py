@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import date_literal
 from ..functions.names import col, quote
-from .cleaning import CONFIRMED, DEATHS
+from ..fixed import CONFIRMED, DEATHS, NUMBER_OF_COUNTRIES
 from .ordering import global_row_number
 
 _AGGS = {"sum": F.sum, "avg": F.avg}
@@ -84,7 +84,7 @@ def measures_by_key(
     )
 
 
-def count_distinct_keys(df: DataFrame, key: str = "iso3", name: str = "Number_Of_Countries") -> DataFrame:
+def count_distinct_keys(df: DataFrame, key: str = "iso3", name: str = NUMBER_OF_COUNTRIES) -> DataFrame:
     """``selectExpr("count(distinct(iso3)) AS Number_Of_Countries")``: an
     aggregate written as SQL text. Exact; nulls are not counted."""
     return df.selectExpr(f"count(DISTINCT {quote(key)}) AS {quote(name)}")

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..fixed import NEW_CASES
 from ..functions.names import col
 from .ordering import global_lag
 
-NEW_CASES = "Number of New Cases"
-
 
 def totals_by_date(df: DataFrame, value: str = "Cases", date: str = "Date", name: str = "Number_Of_Cases") -> DataFrame:
     """``SELECT date AS Date, SUM(value) GROUP BY date``: partial aggregate,

@@ -14,15 +14,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 
 from ..operators import chartdata, cleaning, correlation, factors, snapshot, timeseries
-from ..operators.cleaning import CONFIRMED, DEATHS
+from ..fixed import ARRIVALS_LABEL, CONFIRMED, DEATHS, EXPENDITURE_LABEL
 
 
 def expenditure_label(year: str) -> str:
-    return f"Health Expenditure Percentage of GDP in {year}"
+    return EXPENDITURE_LABEL.format(year=year)
 
 
 def arrivals_label(year: str) -> str:
-    return f"Number of Arrivals in {year}"
+    return ARRIVALS_LABEL.format(year=year)
 
 
 @dataclass(frozen=True)

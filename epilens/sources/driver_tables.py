@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..fixed import COUNTRY_CODE
 from ..functions.stats import cents
 from .files import keep_per_session, read_parquet
 
@@ -202,7 +203,7 @@ def indicator_wide(spark: SparkSession, sf_dir: str, indicator: str, years: tupl
         F.when(nation_row, country_code("n_nationkey"))
         .when(region_row, F.format_string("R%02d", F.col("r_regionkey")))
         .otherwise(F.lit(WORLD_CODE))
-        .alias("Country Code"),
+        .alias(COUNTRY_CODE),
         F.lit(name).alias("Indicator Name"),
         F.lit(code).alias("Indicator Code"),
         *[value(y) for y in wanted],
