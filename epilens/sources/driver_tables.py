@@ -24,12 +24,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..fixed import COUNTRY_CODE
+from ..fixed import CONFIRMED, COUNTRY_CODE, DEATHS
 from ..functions.stats import cents
 from .files import keep_per_session, read_parquet
 
-# Order status -> case type, and the indicator metadata.
-CASE_TYPE_OF_STATUS = {"F": "Confirmed", "O": "Deaths", "P": "Active"}
+# Mapping of the driver tables onto the reference's inputs: order status ->
+# case type (the two analysed types are fixed values; P is a third type that
+# no analysis reads), and the indicator metadata.
+CASE_TYPE_OF_STATUS = {"F": CONFIRMED, "O": DEATHS, "P": "Active"}
 INDICATORS = {
     "arrivals": ("International arrivals (units shipped)", "ST.INT.ARVL"),
     "expenditure": ("Discount as % of gross revenue", "SH.XPD.CHEX.GD.ZS"),
