@@ -28,12 +28,22 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--out", required=True)
     ap.add_argument("--cluster", action="store_true", help="large-input sizing (CLUSTER_CONF)")
     ap.add_argument("--no-materialize", action="store_true", help="re-derive the clean table for every result")
+    ap.add_argument(
+        "--cases-schema",
+        help="DDL of every column of the case file, in file order (skips the inference pass over the data)",
+    )
     args = ap.parse_args(argv)
 
     spark = build_session(cluster=args.cluster)
-    inputs = Inputs(
-        read_csv(spark, args.cases), read_csv(spark, args.expenditure), read_csv(spark, args.arrivals)
+    # schema inference is a full extra pass over the files; sampling it is not
+    # safe (a value wider than the sample's type would turn to null and the
+    # null drop would remove its row), so large inputs should pass the schema
+    cases = (
+        read_csv(spark, args.cases, schema=args.cases_schema, enforceSchema="false")
+        if args.cases_schema
+        else read_csv(spark, args.cases)
     )
+    inputs = Inputs(cases, read_csv(spark, args.expenditure), read_csv(spark, args.arrivals))
     p = Params(dt.date.fromisoformat(args.date), args.expenditure_year, args.arrivals_year)
     if not args.no_materialize:
         # one cleaning pass for all results; the table sits next to them

@@ -20,3 +20,17 @@ def test_cli_writes_all_results(spark):
     report = {r["report"] for r in spark.read.parquet(f"{out}/correlation_report").collect()}
     assert "The correlation between Population and Number_Of_Cases is: -0.150252" in report
     assert spark.read.parquet(f"{out}/daily_new_cases").count() == 3
+
+
+def test_cli_with_explicit_case_schema(spark):
+    out = staging_path(spark, "t-cli-schema")
+    ddl = ("Case_Type string, Cases bigint, Difference bigint, Date string, Combined_Key string, "
+           "Country_Region string, Province_State string, iso3 string, Population_Count bigint")
+    main([
+        "--cases", os.path.join(FIXTURES, "cases.csv"),
+        "--expenditure", os.path.join(FIXTURES, "indicator.csv"),
+        "--arrivals", os.path.join(FIXTURES, "indicator.csv"),
+        "--date", "2020-04-19", "--out", out, "--cases-schema", ddl,
+    ])
+    cases = {r["iso3"]: r["Number_Of_Cases"] for r in spark.read.parquet(f"{out}/cases_per_country").collect()}
+    assert cases == {"AAA": 16, "BBB": 11, "CCC": 30, "DDD": 4}
