@@ -84,3 +84,13 @@ def test_lineitem_year_range_is_pushed(spark):
     text = plan_text(Q.QUERIES["corr_arrivals_cases"](spark, SF_SMALL))
     pushed = [line for line in text.splitlines() if line.startswith("PushedFilters") and "l_shipdate" in line]
     assert pushed and "GreaterThanOrEqual(l_shipdate" in pushed[0] and "LessThan(l_shipdate" in pushed[0]
+
+
+def test_country_join_becomes_broadcast_at_run_time(spark):
+    """The indicator join carries no hint; after running, AQE has measured
+    the country-grain side and chosen a broadcast hash join on iso3."""
+    df = Q.QUERIES["join_arrivals_cases"](spark, SF_SMALL)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in final
+    assert re.search(r"BroadcastHashJoin \[iso3#\d+\], \[iso3#\d+\]", final)
