@@ -115,10 +115,16 @@ def case_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lead("month").over(by_series).alias("next_month"),
     )
     end = F.coalesce(F.add_months("next_month", -1), last_month)
-    dense = runs.select(
-        *SERIES_KEYS, "Cases", F.explode(F.sequence("month", end, F.expr("INTERVAL 1 MONTH"))).alias("day")
+    # population joins the report rows before they are expanded: fewer rows
+    # through the join, the same value on every generated month
+    with_pop = runs.join(population(spark, sf_dir), ["iso3", "Province_State"], "left")
+    dense = with_pop.select(
+        *SERIES_KEYS,
+        "Cases",
+        "Population_Count",
+        F.explode(F.sequence("month", end, F.expr("INTERVAL 1 MONTH"))).alias("day"),
     )
-    return dense.join(population(spark, sf_dir), ["iso3", "Province_State"], "left").select(
+    return dense.select(
         "Case_Type",
         "Cases",
         F.date_format("day", "MM/dd/yyyy").alias("Date"),
