@@ -207,6 +207,8 @@ def oracle_sql() -> dict[str, str]:
         "scan_csv_inferred": _with("SELECT * FROM cases_raw"),
         "scan_csv_delimiter": _with(f"SELECT {wide_cols} FROM arrivals_wide", True),
         "temp_view_sql": _with("SELECT * FROM cases_per_country"),
+        "temp_view_sql_deaths": _with("SELECT * FROM deaths_per_country"),
+        "temp_view_sql_worldwide": _with(WORLDWIDE),
         "schema_columns": _with(
             # CSV inference: integers that fit 32 bits are int, else bigint; MM/dd/yyyy text stays string
             "SELECT * FROM (VALUES (1, 'Case_Type', 'string'), "
