@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from epilens.llm.common import to_bytes
+from epilens.llm.common import small_batches, to_bytes
 
 _KEEP = 200_000
 _ROWS = 256  # rows per output batch
@@ -161,6 +161,7 @@ def _fields(df: DataFrame, drop: str) -> list[T.StructField]:
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
     """``df`` with ``token_ids array<int>``."""
+    small_batches(df.sparkSession)
     vocab = df.sparkSession.sparkContext.broadcast(Vocabulary(read_ranks(ranks_path)))
     fields = _fields(df, "token_ids")
     names = [f.name for f in fields]
@@ -182,6 +183,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text") ->
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "token_ids") -> DataFrame:
     """``df`` with ``decoded binary``, the bytes of its ids."""
+    small_batches(df.sparkSession)
     entries = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
     fields = _fields(df, "decoded")
     names = [f.name for f in fields]

@@ -3,8 +3,6 @@ shingle hashes, cutting lineage in the shared folder."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -95,11 +93,16 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH_ROWS, BATCH_BYTES = 500, "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what an Arrow batch holds (it lies in the executor, outside its
+    heap, and in the Python worker) by bytes, and by rows for short texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-
-def rows_of(batches: Iterator, *columns: str) -> Iterator[tuple]:
-    """The named columns of Arrow record batches as Python values, by batch."""
-    for b in batches:
-        yield tuple(b.column(b.schema.get_field_index(c)).to_pylist() for c in columns)

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epilens.llm import bpe, sharding, url_filter, warc
+from epilens.llm import bpe, decontaminate, sharding, toxicity, url_filter, warc
 from epilens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,33 @@ URL_RULES = [
 RANKS = "byte_bpe_50k.tiktoken"
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        (toxicity.remainder(F.col("doc_id")) == 0).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+        "threshold",
+        "rejected",
+    )
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    listed = F.array_join(F.array_sort(F.col("items").cast("array<string>")), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(listed, 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     rules = url_filter.rules_frame(spark, URL_RULES)
@@ -55,12 +82,16 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_toxicity": op2_toxicity,
+    "op5_decontamination": op5_decontamination,
     "op7_url_filter": op7_url_filter,
     "op8_warc": op8_warc,
     "op9_bpe": op9_bpe,
     "op10_sharding": op10_sharding,
 }
 
+_LOWER = f"translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.UPPER.lower()}')"
+_ALNUM = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _URL = "coalesce(url, '')"
 _HOST = f"translate(regexp_extract({_URL}, '^.*?://([^/?#]*)', 1, 's'), '{url_filter.UPPER}', '{url_filter.UPPER.lower()}')"
 _PATH = f"regexp_extract({_URL}, '^.*?://[^/?#]*([^?#]*)', 1, 's')"
@@ -71,6 +102,25 @@ def _fits(host: str, path: str) -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_decontamination": f"""
+        WITH items AS (SELECT item_id, {_ALNUM} AS w FROM benchmark),
+        windows AS (
+            SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS g
+            FROM items, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(i) WHERE len(w) > 0),
+        docs AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
+        grams AS (
+            SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS g
+            FROM docs, (SELECT DISTINCT n FROM windows) AS l, unnest(range(1, len(w) - n + 2)) AS t(i)),
+        hits AS (SELECT doc_id, i, n, item_id FROM grams JOIN windows USING (n, g)),
+        words AS (
+            SELECT doc_id, count(DISTINCT j) AS n_hit
+            FROM hits, unnest(range(i, i + n)) AS t(j) GROUP BY doc_id),
+        listed AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items
+            FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM hits) GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+            sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN listed USING (doc_id)""",
     "op7_url_filter": f"""
         WITH u AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path FROM pages)
         SELECT page_id, host, path, split_part(r, ' ', 2) AS rule, coalesce(split_part(r, ' ', 1), 'allow') AS verdict

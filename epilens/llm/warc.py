@@ -39,7 +39,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epilens.llm.common import to_bytes
+from epilens.llm.common import small_batches
 from epilens.session import staging_path
 
 MIN_REVISIT = 1000
@@ -126,6 +126,7 @@ def mark_revisits(
 
 def write_warc(records: DataFrame, folder: str) -> DataFrame:
     """Write ``mark_revisits`` rows as archives under ``folder``; the manifest."""
+    small_batches(records.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _filesystem(folder)
