@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epilens.llm import bpe, decontaminate, sharding, toxicity, url_filter, warc
+from epilens.llm import bpe, decontaminate, minhash, sharding, toxicity, url_filter, warc
 from epilens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,11 @@ URL_RULES = [
 RANKS = "byte_bpe_50k.tiktoken"
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.near_duplicates(docs, width=3, percent=85)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -82,6 +87,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_minhash": op1_minhash,
     "op2_toxicity": op2_toxicity,
     "op5_decontamination": op5_decontamination,
     "op7_url_filter": op7_url_filter,
@@ -102,6 +108,28 @@ def _fits(host: str, path: str) -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_minhash": f"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        sets AS (
+            SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1),
+                lambda i: array_to_string(w[i:i + 2], ' '))) AS s
+            FROM words WHERE len(w) > 0),
+        members AS (SELECT doc_id, unnest(s) AS g FROM sets),
+        shared AS (
+            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n
+            FROM members AS x JOIN members AS y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+        links AS (
+            SELECT a, b FROM shared JOIN sets AS p ON p.doc_id = a JOIN sets AS q ON q.doc_id = b
+            WHERE 100 * n >= 85 * (len(p.s) + len(q.s) - n)),
+        both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach AS (
+            SELECT DISTINCT a AS doc_id, a AS r FROM both_ways
+            UNION SELECT reach.doc_id, b FROM reach JOIN both_ways ON r = a),
+        low AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
+        SELECT doc_id, coalesce(len(s), 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id,
+            coalesce(component_id, doc_id) = doc_id AS kept
+        FROM documents LEFT JOIN sets USING (doc_id) LEFT JOIN low USING (doc_id)""",
     "op5_decontamination": f"""
         WITH items AS (SELECT item_id, {_ALNUM} AS w FROM benchmark),
         windows AS (
