@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epilens.llm import bpe, decontaminate, minhash, sharding, toxicity, url_filter, warc
+from epilens.llm import bpe, decontaminate, minhash, sharding, toxicity, url_filter, vector_search, warc
 from epilens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vector_search.top_k(vectors, every=50, k=5, scale=256)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -89,6 +94,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_minhash": op1_minhash,
     "op2_toxicity": op2_toxicity,
+    "op4_vector_search": op4_vector_search,
     "op5_decontamination": op5_decontamination,
     "op7_url_filter": op7_url_filter,
     "op8_warc": op8_warc,
@@ -130,6 +136,18 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, coalesce(len(s), 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id,
             coalesce(component_id, doc_id) = doc_id AS kept
         FROM documents LEFT JOIN sets USING (doc_id) LEFT JOIN low USING (doc_id)""",
+    "op4_vector_search": """
+        WITH v AS (
+            SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT q.vec_id AS query_id, v.vec_id,
+                list_sum(list_transform(range(1, len(v.e) + 1), lambda i: q.e[i] * v.e[i]))::BIGINT AS score
+            FROM v AS q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id AND len(q.e) = len(v.e)),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+        SELECT query_id, rank, vec_id, coalesce(score, 0) AS score FROM r WHERE rank <= 5""",
     "op5_decontamination": f"""
         WITH items AS (SELECT item_id, {_ALNUM} AS w FROM benchmark),
         windows AS (
