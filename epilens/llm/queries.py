@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epilens.llm import bpe, decontaminate, minhash, sharding, substring_dedup, toxicity, url_filter, vector_search, warc
+from epilens.llm import bpe, decontaminate, licenses, minhash, sharding, substring_dedup, toxicity, url_filter, vector_search, warc
 from epilens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,19 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licenses.scan(docs)
+    names = F.array_sort(F.array_distinct(F.col("notices.license")))
+    return found.select(
+        "doc_id",
+        F.size("notices").cast("long").alias("n_notices"),
+        F.array_join(names, ",").alias("licenses"),
+        F.array_join(F.array_sort(F.array_distinct(F.col("notices.kind"))), ",").alias("kinds"),
+        F.round(F.array_max(F.col("notices.coverage")), 6).alias("coverage"),
+    )
+
+
 def op4_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return vector_search.top_k(vectors, every=50, k=5, scale=256)
@@ -99,6 +112,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_minhash": op1_minhash,
     "op2_toxicity": op2_toxicity,
+    "op3_licenses": op3_licenses,
     "op4_vector_search": op4_vector_search,
     "op5_decontamination": op5_decontamination,
     "op6_substring_dedup": op6_substring_dedup,
