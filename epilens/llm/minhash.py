@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epilens.llm.common import WordHash, cut, mix64, shingle_set, small_batches, space_words, stage
+from epilens.llm.common import WordHash, cut, fresh, mix64, shingle_set, small_batches, space_words, stage
 from epilens.llm.components import connected_components
 
 BINS, BAND_ROWS = 128, 5
@@ -213,6 +213,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     the smallest id. Rows without id all stay."""
     found = near_duplicates(docs, doc_id, text, width, percent)
     key = F.col(f"`{doc_id}`")
-    ids = found.where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    kept = docs.join(ids, key == F.col("_kept_id"), "left_semi").dropDuplicates([doc_id])
+    own = fresh(docs, "_kept_id")
+    ids = found.where("kept").select(F.col("doc_id").alias(own)).distinct()
+    kept = docs.join(ids, key == F.col(own), "left_semi").dropDuplicates([doc_id])
     return kept.unionByName(docs.where(key.isNull()))

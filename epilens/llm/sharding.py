@@ -27,6 +27,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from epilens.llm.common import fresh
+
 TABLE_SIZE = 65_537  # prime
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
 
@@ -88,16 +90,19 @@ def place(
     salt = None
     if spread:
         total = rows.count()
-        hot = rows.groupBy(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(key)]).count()
-        hot = hot.where(F.col("count") > F.lit(hot_share) * total).drop("count").withColumn("_hot", F.lit(True))
-        same = [F.col(f"`{k}`").eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)]
+        names = [fresh(rows, f"_k{i}") for i in range(len(key))]
+        mark = fresh(rows, "_hot")
+        hot = rows.groupBy(*[F.col(f"`{k}`").alias(n) for k, n in zip(key, names)]).agg(F.count("*").alias(mark))
+        hot = hot.where(F.col(mark) > F.lit(hot_share) * total)
+        same = [F.col(f"`{k}`").eqNullSafe(F.col(n)) for k, n in zip(key, names)]
         on = same[0]
         for c in same[1:]:
             on = on & c
-        rows = rows.join(F.broadcast(hot), on, "left").drop(*[f"_k{i}" for i in range(len(key))])
+        rows = rows.join(F.broadcast(hot), on, "left").drop(*names)
         part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in spread]), F.lit(fan_out or len(shards)))
-        salt = F.when(F.col("_hot"), part)  # null: concat_ws leaves it out
-    return rows.withColumn("slot", slot_of(key, size, salt)).drop("_hot").join(F.broadcast(slots), "slot")
+        salt = F.when(F.col(mark).isNotNull(), part)  # null: concat_ws leaves it out
+    placed = rows.withColumn("slot", slot_of(key, size, salt)).join(F.broadcast(slots), "slot")
+    return placed.drop(mark) if spread else placed
 
 
 def write_shards(df: DataFrame, path: str, **options) -> None:

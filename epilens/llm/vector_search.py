@@ -66,8 +66,8 @@ def choose_pivots(sample: list[np.ndarray]) -> dict[int, tuple[np.ndarray, np.nd
     """Per dimension: pivots (farthest-first, then two rounds of means) and
     each pivot's largest distance in the sample."""
     out = {}
-    for dim in {len(v) for v in sample}:
-        x = np.unique(np.array([v for v in sample if len(v) == dim], float).reshape(-1, dim), axis=0)
+    for dim in {len(v) for v in sample if len(v)}:
+        x = np.unique(np.array([v for v in sample if len(v) == dim], float), axis=0)
         pick, near = [0], None
         while len(pick) < min(PIVOTS, len(x)):
             d = ((x - x[pick[-1]]) ** 2).sum(axis=1)
@@ -239,7 +239,7 @@ def top_k(
         if not len(block) or not len(asked):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
         block = block.sort_values("dist", kind="stable")
-        x = np.array(block["v"].tolist(), float).reshape(len(block), -1)
+        x = np.array(block["v"].tolist(), float).reshape(len(block), len(block["v"].iloc[0]))
         ids, dist, norm2 = (block[c].to_numpy() for c in ("vec_id", "dist", "norm2"))
         out = []
         for i, d, low, q in zip(asked["query_id"], asked["q_dist"], asked["floor"], asked["q"]):
