@@ -22,7 +22,9 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--cases", required=True)
     ap.add_argument("--expenditure", required=True)
     ap.add_argument("--arrivals", required=True)
-    ap.add_argument("--date", required=True, help="snapshot date, yyyy-mm-dd")
+    ap.add_argument("--date", help="snapshot date, yyyy-mm-dd (default: the latest date of the case file)")
+    ap.add_argument("--strict-dates", action="store_true", help="fail on a date that cannot be parsed")
+    ap.add_argument("--allow-repeated-codes", action="store_true", help="join every row of a code, don't fail")
     ap.add_argument("--expenditure-year", default="2016")
     ap.add_argument("--arrivals-year", default="2018")
     ap.add_argument("--out", required=True)
@@ -43,13 +45,26 @@ def main(argv: list[str] | None = None) -> None:
         if args.cases_schema
         else read_csv(spark, args.cases)
     )
-    inputs = Inputs(cases, read_csv(spark, args.expenditure), read_csv(spark, args.arrivals))
-    p = Params(dt.date.fromisoformat(args.date), args.expenditure_year, args.arrivals_year)
+    inputs = Inputs(
+        cases, read_csv(spark, args.expenditure), read_csv(spark, args.arrivals), strict_dates=args.strict_dates
+    )
+    date = dt.date.fromisoformat(args.date) if args.date else None
+    p = Params(date, args.expenditure_year, args.arrivals_year, check_unique=not args.allow_repeated_codes)
+    out = args.out.rstrip("/")
+    written = set()
+
+    def keep(name, df):
+        """Write a small frame once; the results that derive from it read it."""
+        df.write.mode("overwrite").parquet(f"{out}/{name}")
+        written.add(name)
+        return spark.read.schema(df.schema).parquet(f"{out}/{name}")
+
     if not args.no_materialize:
         # one cleaning pass for all results; the table sits next to them
-        inputs = inputs.materialize(f"{args.out.rstrip('/')}/_clean_cases")
-    for name, df in all_results(inputs, p).items():
-        df.write.mode("overwrite").parquet(f"{args.out.rstrip('/')}/{name}")
+        inputs = inputs.materialize(f"{out}/_clean_cases")
+    for name, df in all_results(inputs, p, keep).items():
+        if name not in written:
+            df.write.mode("overwrite").parquet(f"{out}/{name}")
 
 
 if __name__ == "__main__":

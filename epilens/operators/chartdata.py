@@ -23,7 +23,7 @@ def series_over_time(df: DataFrame, value: str, date: str = "Date", name: str |
 def share_by_key(df: DataFrame, key: str, value: str, name: str = "share") -> DataFrame:
     """Pie chart: each key's part of the total. The total is a scalar
     subquery (one partial aggregate), not a global window or a cross join
-    with a one-row frame."""
+    with a one-row frame. A total of zero (no deaths yet) gives null shares."""
     per_key = series_by_key(df, key, value)
     total = per_key.agg(F.sum(col(value))).scalar()
-    return per_key.withColumn(name, col(value) / total)
+    return per_key.withColumn(name, F.try_divide(col(value), total))

@@ -3,20 +3,19 @@
 ``Window.orderBy(...)`` with no ``partitionBy`` moves every row into a
 single task (``Exchange SinglePartition``). That is fine after a group-by
 date (one row per date), but not for a per-event order or a per-key table
-of unknown size. Here the order is cut into contiguous ranges instead:
-
-1. ``repartitionByRange`` + ``sortWithinPartitions`` on a *unique* order:
-   the range boundaries come from a sample, so the ranges are balanced even
-   when one order value holds a large share of rows (ties are split by the
-   unique tail of the order key).
-2. ``monotonically_increasing_id`` then encodes (range, position in range)
-   without another shuffle. The result is checkpointed to the shared
-   folder: it is used twice below, and a second evaluation could sample
-   different range boundaries.
-3. Per-range counts (one row per range, so bounded by the number of ranges
-   we chose) give each range its offset: broadcast join, proven small.
-4. ``lag`` is taken inside fixed-size segments of the global row number,
-   plus one carried value per segment boundary.
+of unknown size. Here the order is cut into contiguous buckets, and the
+bucket is a plain function of the row:
+
+1. Boundaries are approximate quantiles of the first order column (one
+   aggregate, at most ``num_ranges`` values). A value that spans several
+   quantiles is hot: it is split further at quantiles of the second order
+   column among its rows, if that column is a number or a time.
+2. The bucket of a row comes from comparing it with the boundaries (a binary
+   decision tree in one expression), so it can be computed any number of
+   times with the same result: nothing is checkpointed or written.
+3. Numbers and lags are taken inside buckets (one shuffle on the bucket). Each
+   bucket hands the next one its row count, or its last value: one row per
+   bucket, from a partial aggregate.
 """
 
 from __future__ import annotations
@@ -25,81 +24,110 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.names import col
+
+_BUCKET = "_bucket"
+_SPLITTABLE = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def _key(name: str, descending: Sequence[str]) -> Column:
+    """The order column as a sort key; nulls first ascending, last descending."""
+    return col(name).desc_nulls_last() if name in descending else col(name).asc_nulls_first()
+
+
+def _quantiles(name: str, n: int) -> Column:
+    return F.percentile_approx(col(name), [i / n for i in range(1, n)], 100 * n)
+
+
+def _boundaries(df: DataFrame, order: Sequence[str], descending: Sequence[str], n: int) -> list[tuple]:
+    """At most 2n boundaries (first, second or None), in the order's direction."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    if n < 2 or not isinstance(kinds[order[0]], _SPLITTABLE):
+        return []
+    cuts = df.agg(_quantiles(order[0], n)).first()[0] or []
+    hot = sorted({c for c in cuts if cuts.count(c) > 1})
+    out = [(c, None) for c in dict.fromkeys(cuts)]
+    if hot and len(order) > 1 and isinstance(kinds[order[1]], _SPLITTABLE):
+        inside = df.where(col(order[0]).isin(hot)).groupBy(col(order[0]).alias("k")).agg(_quantiles(order[1], n).alias("q"))
+        for k, q in inside.collect():  # one row per hot value: fewer than n
+            own = sorted(set(q or []))[:: max(1, n // (cuts.count(k) + 1))]
+            out += [(k, x) for x in own]
+    down = [c in descending for c in order[:2]]
+
+    def place(b):
+        # a boundary on the first column alone precedes those inside its value
+        def signed(v, d):
+            v = v.toordinal() if type(v).__name__ == "date" else v.timestamp() if hasattr(v, "timestamp") else v
+            return -v if d else v
+
+        return (signed(b[0], down[0]), b[1] is not None, 0 if b[1] is None else signed(b[1], down[-1]))
 
-from ..session import ensure_checkpoint_dir
+    return sorted(out, key=place)
 
-_BUCKET = "_range"
-_LOCAL = "_pos"
-_LOW_BITS = 33  # monotonically_increasing_id: partition id << 33 | record number
 
+def _bucket(order: Sequence[str], descending: Sequence[str], bounds: list[tuple], kinds: dict) -> Column:
+    """Number of boundaries that do not come after the row."""
 
-def _as_cols(order: Sequence[str | Column]) -> list[Column]:
-    return [F.col(c) if isinstance(c, str) else c for c in order]
+    def reached(b: tuple) -> Column:
+        first, down = col(order[0]), order[0] in descending
+        at = F.lit(b[0]).cast(kinds[order[0]])
+        if b[1] is None:
+            return first <= at if down else first >= at
+        second, inner = col(order[1]), F.lit(b[1]).cast(kinds[order[1]])
+        beyond = first < at if down else first > at
+        return beyond | ((first == at) & (second <= inner if order[1] in descending else second >= inner))
+
+    def tree(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi + 1) // 2
+        return F.when(reached(bounds[mid - 1]), tree(mid, hi)).otherwise(tree(lo, mid - 1))
+
+    # a null compares to nothing: first ascending, last descending
+    nulls = F.lit(len(bounds) + 1 if order[0] in descending else 0)
+    return F.when(col(order[0]).isNull(), nulls).otherwise(tree(0, len(bounds)))
+
+
+def _bucketed(df: DataFrame, order: Sequence[str], descending: Sequence[str], num_ranges: int | None) -> DataFrame:
+    n = num_ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    return df.withColumn(_BUCKET, _bucket(order, descending, _boundaries(df, order, descending, n), kinds))
 
 
 def global_row_number(
-    df: DataFrame, order: Sequence[str | Column], name: str = "row_number", num_ranges: int | None = None
+    df: DataFrame,
+    order: Sequence[str],
+    name: str = "row_number",
+    num_ranges: int | None = None,
+    descending: Sequence[str] = (),
 ) -> DataFrame:
-    """``row_number() over (order by <order>)`` computed range by range.
+    """``row_number() over (order by <order>)`` computed bucket by bucket.
     ``order`` must be unique (add the key as the last element)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    cols = _as_cols(order)
-    # Without an explicit count AQE may merge small adjacent ranges; merged
-    # ranges are still contiguous and in order, so positions stay correct.
-    ranged = df.repartitionByRange(num_ranges, *cols) if num_ranges else df.repartitionByRange(*cols)
-    mid = F.monotonically_increasing_id()
-    placed = (
-        ranged.sortWithinPartitions(*cols)
-        .withColumn("_mid", mid)
-        .select("*", F.shiftright("_mid", _LOW_BITS).alias(_BUCKET), (F.col("_mid").bitwiseAND((1 << _LOW_BITS) - 1)).alias(_LOCAL))
-        .drop("_mid")
-        .checkpoint(eager=True)
-    )
-    counts = placed.groupBy(_BUCKET).agg(F.count(F.lit(1)).alias("_cnt"))
-    # one row per range (at most spark.sql.shuffle.partitions): the running
-    # offset over ranges is a tiny global window, and a proven-small broadcast
-    offsets = counts.select(
-        _BUCKET,
-        F.coalesce(
-            F.sum("_cnt").over(Window.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_offset"),
-    )
-    return placed.join(F.broadcast(offsets), _BUCKET).select(
-        *[F.col(f"`{c}`") for c in df.columns], (F.col("_offset") + F.col(_LOCAL) + 1).alias(name)
+    rows = _bucketed(df, order, descending, num_ranges)
+    counts = rows.groupBy(_BUCKET).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
+    offsets = counts.select(_BUCKET, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(_BUCKET).orderBy(*[_key(c, descending) for c in order])
+    numbered = rows.withColumn("_in", F.row_number().over(inside))
+    return numbered.join(offsets, _BUCKET).select(
+        *[col(c) for c in df.columns], (F.col("_offset") + F.col("_in")).alias(name)
     )
 
 
 def global_lag(
-    df: DataFrame,
-    value: str,
-    order: Sequence[str | Column],
-    name: str | None = None,
-    offset_rows: int = 1,
-    segment_rows: int = 1 << 20,
-    num_ranges: int | None = None,
+    df: DataFrame, value: str, order: Sequence[str], name: str | None = None, num_ranges: int | None = None
 ) -> DataFrame:
-    """``lag(value, 1) over (order by <order>)`` for a large input.
-
-    Rows are numbered globally (see module doc), then the window runs inside
-    segments of ``segment_rows`` consecutive rows -- many equal segments, so
-    the hash shuffle on the segment is balanced. The first row of a segment
-    takes the last value of the previous segment through an equi-join on
-    the segment number (one row per segment on the small side).
-    """
-    if offset_rows != 1:
-        raise ValueError("only a lag of one row is supported")
+    """``lag(value, 1) over (order by <order>)`` for a large input; ``order``
+    must be unique. The first row of a bucket takes the last value of the
+    bucket before it."""
     out = name or f"lag_{value}"
-    numbered = global_row_number(df, order, "_rn", num_ranges)
-    seg = F.floor((F.col("_rn") - 1) / F.lit(segment_rows)).cast("bigint")
-    numbered = numbered.withColumn("_seg", seg)
-    inside = Window.partitionBy("_seg").orderBy("_rn")
-    lagged = numbered.withColumn(out, F.lag(F.col(f"`{value}`"), 1).over(inside))
-    tails = numbered.where(F.col("_rn") % F.lit(segment_rows) == 0).select(
-        (F.col("_seg") + 1).alias("_seg"), F.col(f"`{value}`").alias("_carry")
-    )
-    first_of_segment = (F.col("_rn") - 1) % F.lit(segment_rows) == 0
-    joined = lagged.join(tails, "_seg", "left")
-    return joined.select(
-        *[F.col(f"`{c}`") for c in df.columns],
-        F.when(first_of_segment, F.col("_carry")).otherwise(F.col(f"`{out}`")).alias(out),
+    rows = _bucketed(df, order, (), num_ranges)
+    inside = Window.partitionBy(_BUCKET).orderBy(*[_key(c, ()) for c in order])
+    lagged = rows.withColumn("_prev", F.lag(col(value), 1).over(inside)).withColumn("_in", F.row_number().over(inside))
+    last = rows.groupBy(_BUCKET).agg(F.max_by(col(value), F.struct(*[col(c) for c in order])).alias("_last"))
+    carried = last.select(_BUCKET, F.lag("_last", 1).over(Window.orderBy(_BUCKET)).alias("_carry"))  # one row per bucket
+    return lagged.join(carried, _BUCKET).select(
+        *[col(c) for c in df.columns], F.when(F.col("_in") == 1, F.col("_carry")).otherwise(F.col("_prev")).alias(out)
     )

@@ -15,15 +15,17 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import date_literal
 from ..functions.names import col, quote
-from ..fixed import CONFIRMED, DEATHS, NUMBER_OF_COUNTRIES
+from ..fixed import CONFIRMED, DEATHS, NUMBER_OF_CASES, NUMBER_OF_COUNTRIES, NUMBER_OF_DEATHS, POPULATION
 from .ordering import global_row_number
 
 _AGGS = {"sum": F.sum, "avg": F.avg}
 
 
 def latest_date(df: DataFrame, column: str = "Date") -> Column:
-    """``max(date)`` of the table as a scalar subquery: computed once by a
-    partial aggregate, then used as a literal (no join, no driver round trip)."""
+    """``max(date)`` of the table it is given, as a scalar subquery: computed
+    once by a partial aggregate, then used as a literal (no join, no driver
+    round trip). Given the whole clean table it is the latest date of the data
+    set; given one case type, the latest date of that type."""
     return df.agg(F.max(col(column))).scalar()
 
 
@@ -35,10 +37,10 @@ def snapshot_filter(df: DataFrame, on: str | _dt.date | Column, column: str = "D
 def totals_by_key(
     df: DataFrame,
     value: str = "Cases",
-    measure: str = "Number_Of_Cases",
+    measure: str = NUMBER_OF_CASES,
     key: str = "iso3",
     population: str | None = "Population_Count",
-    population_name: str = "Population",
+    population_name: str = POPULATION,
     agg: str = "sum",
 ) -> DataFrame:
     """``SELECT key, agg(value) AS measure, SUM(population) AS Population
@@ -77,9 +79,9 @@ def measures_by_key(
     is_c = F.col("Case_Type") == confirmed
     is_d = F.col("Case_Type") == deaths
     return rows.groupBy(col(key).alias(key)).agg(
-        F.sum(F.when(is_c, F.col("Cases"))).alias("Number_Of_Cases"),
+        F.sum(F.when(is_c, F.col("Cases"))).alias(NUMBER_OF_CASES),
         F.sum(F.when(is_c, F.col("Population_Count"))).alias("Population_Cases"),
-        F.sum(F.when(is_d, F.col("Cases"))).alias("Number_Of_Deaths"),
+        F.sum(F.when(is_d, F.col("Cases"))).alias(NUMBER_OF_DEATHS),
         F.sum(F.when(is_d, F.col("Population_Count"))).alias("Population_Deaths"),
     )
 
@@ -93,7 +95,7 @@ def count_distinct_keys(df: DataFrame, key: str = "iso3", name: str = NUMBER_OF_
 def rank_by_measure(df: DataFrame, measure: str, key: str = "iso3", name: str = "rank") -> DataFrame:
     """``ORDER BY measure DESC`` made visible as a 1-based rank column; the
     key breaks ties so the order is total. Distributed (see ``ordering``)."""
-    return global_row_number(df, [F.col(measure).desc_nulls_last(), F.col(key).asc()], name)
+    return global_row_number(df, [measure, key], name, descending=[measure])
 
 
 def top_n(df: DataFrame, n: int, measure: str, key: str = "iso3", name: str = "rank") -> DataFrame:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..fixed import NEW_CASES
+from ..fixed import NEW_CASES, NUMBER_OF_CASES
 from ..functions.names import col
 from .ordering import global_lag
 
 
-def totals_by_date(df: DataFrame, value: str = "Cases", date: str = "Date", name: str = "Number_Of_Cases") -> DataFrame:
+def totals_by_date(df: DataFrame, value: str = "Cases", date: str = "Date", name: str = NUMBER_OF_CASES) -> DataFrame:
     """``SELECT date AS Date, SUM(value) GROUP BY date``: partial aggregate,
     then one row per date."""
     return df.groupBy(col(date).alias(date)).agg(F.sum(col(value)).alias(name))

@@ -1,11 +1,14 @@
 """Registered queries: one per operator/analysis of the inventory.
 
-Each callable takes (spark, sf_dir) and returns a lazy DataFrame over the
-driver tables at ``sf_dir``. Column names match ``oracle_sql.py``.
+Each callable takes (spark, sf_dir) and returns a DataFrame over the driver
+tables at ``sf_dir``. The CSV and streaming queries write their files while
+they are built (``session.release_staging`` deletes them), rankings and
+event lags compute their bucket boundaries; the others run no job. Column names match ``oracle_sql.py``.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,26 +17,29 @@ from pyspark.sql import functions as F
 from ..operators import chartdata, cleaning, contract, correlation, factors, snapshot, timeseries
 from ..operators.cleaning import CASE_COLUMNS, CONFIRMED, DEATHS
 from ..operators.ordering import global_lag
-from ..sources import case_table, event_values, indicator_wide
-from ..sources.files import keep_per_session, read_csv, register_view, write_csv
+from ..sources import case_table, customer_totals, event_values, indicator_pair, indicator_wide, order_line_totals
+from ..sources.files import read_csv, read_parquet, register_view, sql, write_csv
+from .. import streaming
+from ..fixed import NUMBER_OF_CASES, NUMBER_OF_DEATHS, POPULATION
+from ..functions.names import quote
 from ..session import staging_path
 from . import analyses as A
 
-P = A.Params()
+P = A.Params(snapshot_date=dt.date(2001, 7, 1))  # 2001-08, the latest, is a partial month
 EXP = A.expenditure_label(P.expenditure_year)
 ARR = A.arrivals_label(P.arrivals_year)
 TOP_N = 10
 PREVIEW_ROWS = 50
 
 
-@keep_per_session
 def inputs(spark: SparkSession, sf_dir: str) -> A.Inputs:
-    """The three inputs over the driver tables at ``sf_dir``, one set per
-    session (each built on first use)."""
+    """The three inputs over the driver tables at ``sf_dir`` (each built on
+    first use)."""
     return A.Inputs(
         lambda: case_table(spark, sf_dir),
         lambda: indicator_wide(spark, sf_dir, "expenditure", (P.expenditure_year,)),
         lambda: indicator_wide(spark, sf_dir, "arrivals", (P.arrivals_year,)),
+        lambda: indicator_pair(spark, sf_dir, P.expenditure_year, P.arrivals_year),
     )
 
 
@@ -56,8 +62,8 @@ def _join(factor, measure):
 def _corr(factor, measure):
     def run(spark, d):
         if factor == "population":
-            frame = (_cases if measure == "Number_Of_Cases" else _deaths)(spark, d)
-            return correlation.correlation(frame, "Population", measure, P.digits)
+            frame = (_cases if measure == NUMBER_OF_CASES else _deaths)(spark, d)
+            return correlation.correlation(frame, POPULATION, measure, P.digits)
         frame = A.factor_join(inputs(spark, d), P, factor, measure)
         return correlation.correlation(frame, EXP if factor == "expenditure" else ARR, measure, P.digits)
 
@@ -67,8 +73,8 @@ def _corr(factor, measure):
 def _scatter(factor, measure):
     def run(spark, d):
         if factor == "population":
-            frame = (_cases if measure == "Number_Of_Cases" else _deaths)(spark, d)
-            return factors.scatter(frame, "Population", measure)
+            frame = (_cases if measure == NUMBER_OF_CASES else _deaths)(spark, d)
+            return factors.scatter(frame, POPULATION, measure)
         frame = A.factor_join(inputs(spark, d), P, factor, measure)
         return factors.scatter(frame, EXP if factor == "expenditure" else ARR, measure)
 
@@ -110,43 +116,65 @@ def q_scan_csv_delimiter(spark, d):
     return contract.cast_to(df, {y: "double" for y in years})
 
 
+def sum_by_sql(view: str, key: str, sums: dict[str, str], key_name: str | None = None) -> str:
+    """SQL text: sums per key of a view. ``sums``: result column -> value."""
+    parts = [f"sum({quote(value)}) AS {quote(name)}" for name, value in sums.items()]
+    return f"SELECT {', '.join([f'{quote(key)} AS {quote(key_name or key)}', *parts])} FROM {quote(view)} GROUP BY {quote(key)}"
+
+
 def q_temp_view_sql(spark, d):
-    """The reference's SQL over a temp view of the snapshot rows."""
-    clean = _clean(spark, d)
-    latest = snapshot.snapshot_filter(cleaning.filter_value(clean, CONFIRMED), P.snapshot_date)
-    register_view(latest, "latest_cases_table")
-    return spark.sql(
-        "SELECT iso3, SUM(Cases) AS Number_Of_Cases, SUM(Population_Count) AS Population "
-        "FROM latest_cases_table GROUP BY iso3 ORDER BY Number_Of_Cases DESC"
-    )
+    """Cases per country by SQL over a temp view of the snapshot rows."""
+    latest = snapshot.snapshot_filter(cleaning.filter_value(_clean(spark, d), CONFIRMED), P.snapshot_date)
+    register_view(latest, "snapshot_cases")
+    return sql(spark, sum_by_sql("snapshot_cases", "iso3", {NUMBER_OF_CASES: "Cases", POPULATION: "Population_Count"}))
 
 
 def q_temp_view_sql_deaths(spark, d):
-    """Deaths per country through SQL over a temp view of the renamed slice."""
+    """Deaths per country by SQL over a temp view of the renamed slice."""
     deaths = cleaning.split_by_case_type(_clean(spark, d))[1]
-    register_view(snapshot.snapshot_filter(deaths, P.snapshot_date), "latest_deaths_table")
-    return spark.sql(
-        "SELECT iso3, SUM(Deaths) AS Number_Of_Deaths, SUM(Population_Count) AS Population "
-        "FROM latest_deaths_table GROUP BY iso3 ORDER BY Number_Of_Deaths DESC"
-    )
+    register_view(snapshot.snapshot_filter(deaths, P.snapshot_date), "snapshot_deaths")
+    return sql(spark, sum_by_sql("snapshot_deaths", "iso3", {NUMBER_OF_DEATHS: "Deaths", POPULATION: "Population_Count"}))
 
 
 def q_temp_view_sql_worldwide(spark, d):
-    """Worldwide totals by date through SQL over a temp view of all Confirmed rows."""
-    register_view(cleaning.filter_value(_clean(spark, d), CONFIRMED), "cases_table")
-    return spark.sql("SELECT date AS Date, SUM(Cases) AS Number_Of_Cases FROM cases_table GROUP BY date ORDER BY date")
+    """Worldwide totals by date by SQL over a temp view of all Confirmed rows
+    (the key is found whatever the case of its name)."""
+    register_view(cleaning.filter_value(_clean(spark, d), CONFIRMED), "confirmed_rows")
+    return sql(spark, sum_by_sql("confirmed_rows", "date", {NUMBER_OF_CASES: "Cases"}, "Date"))
 
 
 def q_schema_columns(spark, d):
     """Columns of the case CSV as schema inference sees them (the
     reference's read with ``inferschema`` and ``columns.foreach(println)``):
-    the inference is a pass over every row."""
+    the inference is a pass over every row. CSV columns are nullable."""
     path = write_csv(case_table(spark, d), staging_path(spark, "cases-csv-schema"))
-    return contract.column_listing(spark, read_csv(spark, path, header=True, infer_schema=True)).drop("nullable")
+    return contract.column_listing(spark, read_csv(spark, path, header=True, infer_schema=True))
+
+
+def q_schema_columns_indicators(spark, d):
+    """Names, types and nullability of both wide indicator tables."""
+    arrivals = contract.column_listing(spark, indicator_wide(spark, d, "arrivals"))
+    expenditure = contract.column_listing(spark, indicator_wide(spark, d, "expenditure"))
+    return arrivals.withColumn("input", F.lit("arrivals")).unionByName(expenditure.withColumn("input", F.lit("expenditure")))
 
 
 def q_schema_contract(spark, d):
-    return contract.assert_schema(_clean(spark, d), contract.CLEAN_CASE_CONTRACT)
+    """Every contract the inputs are held to, checked on the inputs: a row per
+    contract column with what was found."""
+    frames = {
+        "cases": (case_table(spark, d), contract.CASE_CONTRACT),
+        "clean_cases": (_clean(spark, d), contract.CLEAN_CASE_CONTRACT),
+        "arrivals": (indicator_wide(spark, d, "arrivals"), contract.INDICATOR_CONTRACT),
+        "expenditure": (indicator_wide(spark, d, "expenditure"), contract.INDICATOR_CONTRACT),
+    }
+    rows = []
+    for name, (df, wanted) in frames.items():
+        found = dict(contract.assert_schema(df, wanted).dtypes)
+        rows += [(name, c, family, found[c]) for c, family in wanted.items()]
+    listed = spark.createDataFrame(rows, "input string, column_name string, contract string, data_type string")
+    sizes = [frames[n][0].agg(F.count("*").alias("n_rows")).withColumn("input", F.lit(n)) for n in frames]
+    counts = sizes[0].unionByName(sizes[1]).unionByName(sizes[2]).unionByName(sizes[3])
+    return listed.join(counts, "input")
 
 
 # ---- cleaning -----------------------------------------------------------
@@ -173,10 +201,25 @@ def q_rename_columns(spark, d):
 
 
 def q_split_by_case_type(spark, d):
-    cases, deaths = cleaning.split_by_case_type(_clean(spark, d))
-    return cases.select(F.lit("cases").alias("slice"), "Case_Type", F.col("Cases").alias("value"), "iso3", "Date").unionByName(
-        deaths.select(F.lit("deaths").alias("slice"), "Case_Type", F.col("Deaths").alias("value"), "iso3", "Date")
-    )
+    """Both slices in one pass: one filter, the slice named by the case type."""
+    name = F.when(F.col("Case_Type") == CONFIRMED, "cases").otherwise("deaths")
+    both = _clean(spark, d).where(F.col("Case_Type").isin(CONFIRMED, DEATHS))
+    return both.select(name.alias("slice"), "Case_Type", F.col("Cases").alias("value"), "iso3", "Date")
+
+
+def q_drop_null_rows_outer(spark, d):
+    """The null drop over an outer join whose right side has gaps: orders
+    without line items leave."""
+    return cleaning.drop_null_rows(order_line_totals(spark, d))
+
+
+def q_join_inner_unmatched(spark, d):
+    """The indicator join on keys that differ on both sides: documents with a
+    label against documents of English text, by id."""
+    labels = read_parquet(spark, f"{d.rstrip('/')}/labels.parquet", ["doc_id", "quality"])
+    docs = read_parquet(spark, f"{d.rstrip('/')}/documents.parquet", ["doc_id", "lang", "n_chars"])
+    english = docs.where(F.col("lang") == "en").select("doc_id", "n_chars")
+    return factors.join_indicator(labels, english, "quality", "n_chars", "doc_id")
 
 
 def q_filter_snapshot_date(spark, d):
@@ -193,21 +236,27 @@ def q_count_distinct_keys(spark, d):
 
 def q_count_distinct_arrivals_keys(spark, d):
     """Countries in the arrivals table after its null drop (AG1)."""
-    return snapshot.count_distinct_keys(A.arrivals_factor(inputs(spark, d), P))
+    return snapshot.count_distinct_keys(cleaning.indicator_year(inputs(spark, d).arrivals_wide, P.arrivals_year))
 
 
 def q_count_distinct_expenditure_keys(spark, d):
     """Countries in the health-expenditure table after its null drop (AG1)."""
-    return snapshot.count_distinct_keys(A.expenditure_factor(inputs(spark, d), P))
+    return snapshot.count_distinct_keys(cleaning.indicator_year(inputs(spark, d).expenditure_wide, P.expenditure_year))
 
 
 # ---- snapshots and ranking ----------------------------------------------
 
 
 def q_latest_snapshot(spark, d):
-    """Totals per country on the latest date of the Confirmed rows. The
-    date subquery and the totals read the same filtered rows, so AQE reuses
-    one set of exchanges for both (the orders join runs once)."""
+    """Totals per country on the latest date of the data set (all case types)."""
+    clean = _clean(spark, d)
+    on = snapshot.latest_date(clean)
+    return A.cases_per_country(clean, on).withColumn("Date", on)
+
+
+def q_latest_snapshot_of_type(spark, d):
+    """The same on the latest date of the Confirmed rows alone: a case type
+    that reports longer than another cannot empty the snapshot."""
     confirmed = cleaning.filter_value(_clean(spark, d), CONFIRMED)
     on = snapshot.latest_date(confirmed)
     return A.cases_per_country(confirmed, on).withColumn("Date", on)
@@ -219,11 +268,16 @@ def q_snapshot_avg_by_key(spark, d):
 
 
 def q_rank_keys_by_measure(spark, d):
-    return snapshot.rank_by_measure(_cases(spark, d), "Number_Of_Cases")
+    return snapshot.rank_by_measure(_cases(spark, d), NUMBER_OF_CASES)
+
+
+def q_rank_customers(spark, d):
+    """Every customer ranked by order total: a key table that grows."""
+    return snapshot.rank_by_measure(customer_totals(spark, d), "total_cents", "c_custkey")
 
 
 def q_top_n_keys(spark, d):
-    return snapshot.top_n(_cases(spark, d), TOP_N, "Number_Of_Cases")
+    return snapshot.top_n(_cases(spark, d), TOP_N, NUMBER_OF_CASES)
 
 
 def q_preview_first_50(spark, d):
@@ -253,7 +307,7 @@ def q_corr_report(spark, d):
 
 
 def q_skewness_measure(spark, d):
-    return correlation.skewness(_cases(spark, d), "Number_Of_Cases", digits=P.digits)
+    return correlation.skewness(_cases(spark, d), NUMBER_OF_CASES, digits=P.digits)
 
 
 # ---- time ----------------------------------------------------------------
@@ -264,7 +318,7 @@ def q_worldwide_total_by_date(spark, d):
 
 
 def q_lag_previous_row(spark, d):
-    return timeseries.with_lag(A.worldwide_cases_by_date(_clean(spark, d)), "Number_Of_Cases", "Date", "Previous_Number_Of_Cases")
+    return timeseries.with_lag(A.worldwide_cases_by_date(_clean(spark, d)), NUMBER_OF_CASES, "Date", "Previous_Number_Of_Cases")
 
 
 def q_daily_new_cases(spark, d):
@@ -272,39 +326,40 @@ def q_daily_new_cases(spark, d):
 
 
 def q_lag_bucketed(spark, d):
-    """lag over every event in (ts, event_id) order, range by range."""
+    """lag over every event in (ts, event_id) order, bucket by bucket."""
     return global_lag(event_values(spark, d), "value_cents", ["ts", "event_id"], "prev_value_cents")
 
 
 def q_stream_totals_by_date(spark, d):
-    """The case table lands as CSV files in a folder; a streaming query
-    folds them into worldwide totals per date (several micro-batches, state
-    per date) and the finished table is read back."""
-    from ..streaming import case_file_stream, run_to_table, totals_by_date_stream
-
-    folder = write_csv(case_table(spark, d).repartition(4), staging_path(spark, "case-files"))
-    table = staging_path(spark, "stream-totals")
-    run_to_table(totals_by_date_stream(case_file_stream(spark, folder, files_per_batch=1)), table, staging_path(spark, "stream-ckpt"))
-    return spark.read.parquet(table)
+    """The case table lands as CSV files in a folder, twice (history is
+    published again); a streaming query keeps the newest row per key over
+    several micro-batches, and the totals per date are taken from its table."""
+    folder, kept, ckpt = (staging_path(spark, f"stream-{x}") for x in ("files", "rows", "ckpt"))
+    for part in ("first", "again"):
+        write_csv(case_table(spark, d), f"{folder}/{part}")
+    streaming.update_case_rows(streaming.case_file_stream(spark, f"{folder}/*", files_per_batch=1), kept, ckpt)
+    return streaming.totals_from_rows(spark, kept)
 
 
 # ---- chart data ------------------------------------------------------------
 
 
 def q_chart_series_by_key(spark, d):
-    return chartdata.series_by_key(_cases(spark, d), "iso3", "Number_Of_Cases")
+    return chartdata.series_by_key(_cases(spark, d), "iso3", NUMBER_OF_CASES)
 
 
 def q_chart_share_by_key(spark, d):
-    return chartdata.share_by_key(_cases(spark, d), "iso3", "Number_Of_Cases")
+    return chartdata.share_by_key(_cases(spark, d), "iso3", NUMBER_OF_CASES)
 
 
 def q_chart_share_deaths_by_key(spark, d):
-    return chartdata.share_by_key(_deaths(spark, d), "iso3", "Number_Of_Deaths")
+    return chartdata.share_by_key(_deaths(spark, d), "iso3", NUMBER_OF_DEATHS)
 
 
 def q_chart_series_over_time(spark, d):
-    return A.series_over_time(_clean(spark, d), CONFIRMED)
+    """The bars of both charts in one frame: cases and deaths by date."""
+    both = _clean(spark, d).where(F.col("Case_Type").isin(CONFIRMED, DEATHS))
+    return both.groupBy("Case_Type", "Date").agg(F.sum("Cases").alias("value"))
 
 
 def q_chart_series_deaths_over_time(spark, d):
@@ -321,10 +376,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "temp_view_sql_deaths": q_temp_view_sql_deaths,
     "temp_view_sql_worldwide": q_temp_view_sql_worldwide,
     "schema_columns": q_schema_columns,
+    "schema_columns_indicators": q_schema_columns_indicators,
     "schema_contract": q_schema_contract,
     "project_columns": q_project_columns,
     "parse_date_column": q_parse_date_column,
     "drop_null_rows": q_drop_null_rows,
+    "drop_null_rows_outer": q_drop_null_rows_outer,
     "filter_case_type": q_filter_case_type,
     "rename_columns": q_rename_columns,
     "split_by_case_type": q_split_by_case_type,
@@ -337,27 +394,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "snapshot_deaths_by_key": _deaths,
     "snapshot_avg_by_key": q_snapshot_avg_by_key,
     "latest_snapshot": q_latest_snapshot,
+    "latest_snapshot_of_type": q_latest_snapshot_of_type,
     "rank_keys_by_measure": q_rank_keys_by_measure,
+    "rank_customers": q_rank_customers,
     "top_n_keys": q_top_n_keys,
     "preview_first_50": q_preview_first_50,
     "preview_arrivals_50": q_preview_arrivals_50,
     "preview_expenditure_50": q_preview_expenditure_50,
-    "join_expenditure_cases": _join("expenditure", "Number_Of_Cases"),
-    "join_expenditure_deaths": _join("expenditure", "Number_Of_Deaths"),
-    "join_arrivals_cases": _join("arrivals", "Number_Of_Cases"),
-    "join_arrivals_deaths": _join("arrivals", "Number_Of_Deaths"),
-    "scatter_population_cases": _scatter("population", "Number_Of_Cases"),
-    "scatter_population_deaths": _scatter("population", "Number_Of_Deaths"),
-    "scatter_expenditure_cases": _scatter("expenditure", "Number_Of_Cases"),
-    "scatter_expenditure_deaths": _scatter("expenditure", "Number_Of_Deaths"),
-    "scatter_arrivals_cases": _scatter("arrivals", "Number_Of_Cases"),
-    "scatter_arrivals_deaths": _scatter("arrivals", "Number_Of_Deaths"),
-    "corr_population_cases": _corr("population", "Number_Of_Cases"),
-    "corr_population_deaths": _corr("population", "Number_Of_Deaths"),
-    "corr_expenditure_cases": _corr("expenditure", "Number_Of_Cases"),
-    "corr_expenditure_deaths": _corr("expenditure", "Number_Of_Deaths"),
-    "corr_arrivals_cases": _corr("arrivals", "Number_Of_Cases"),
-    "corr_arrivals_deaths": _corr("arrivals", "Number_Of_Deaths"),
+    "join_inner_unmatched": q_join_inner_unmatched,
+    "join_expenditure_cases": _join("expenditure", NUMBER_OF_CASES),
+    "join_expenditure_deaths": _join("expenditure", NUMBER_OF_DEATHS),
+    "join_arrivals_cases": _join("arrivals", NUMBER_OF_CASES),
+    "join_arrivals_deaths": _join("arrivals", NUMBER_OF_DEATHS),
+    "scatter_population_cases": _scatter("population", NUMBER_OF_CASES),
+    "scatter_population_deaths": _scatter("population", NUMBER_OF_DEATHS),
+    "scatter_expenditure_cases": _scatter("expenditure", NUMBER_OF_CASES),
+    "scatter_expenditure_deaths": _scatter("expenditure", NUMBER_OF_DEATHS),
+    "scatter_arrivals_cases": _scatter("arrivals", NUMBER_OF_CASES),
+    "scatter_arrivals_deaths": _scatter("arrivals", NUMBER_OF_DEATHS),
+    "corr_population_cases": _corr("population", NUMBER_OF_CASES),
+    "corr_population_deaths": _corr("population", NUMBER_OF_DEATHS),
+    "corr_expenditure_cases": _corr("expenditure", NUMBER_OF_CASES),
+    "corr_expenditure_deaths": _corr("expenditure", NUMBER_OF_DEATHS),
+    "corr_arrivals_cases": _corr("arrivals", NUMBER_OF_CASES),
+    "corr_arrivals_deaths": _corr("arrivals", NUMBER_OF_DEATHS),
     "corr_all_pairs": q_corr_all_pairs,
     "corr_report": q_corr_report,
     "skewness_measure": q_skewness_measure,

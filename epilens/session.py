@@ -10,6 +10,7 @@ size grows with the input.
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -22,6 +23,8 @@ DEFAULT_CONF: dict[str, str] = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
     "spark.sql.session.timeZone": "UTC",
+    # checkpoints go when nothing refers to them any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -77,8 +80,9 @@ def build_session(
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared folder named by ``spark.checkpoint.dir``.
 
-    The cluster names that folder; only when it is unset (local tests) do we
-    pick one of our own.
+    The cluster names that folder; only in local mode, and only when it is
+    unset, do we pick one of our own: on a cluster a machine-local folder
+    would be read by other machines that don't have it.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -86,6 +90,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     path = sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="epilens-ckpt-")
     sc.setCheckpointDir(path)
     # setCheckpointDir adds a per-application sub-folder; staged files sit
@@ -93,7 +99,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+_STAGED: list[tuple[SparkSession, str]] = []
+
+
 def staging_path(spark: SparkSession, label: str) -> str:
-    """A fresh, never reused path under the shared checkpoint folder."""
+    """A fresh, never reused path under the shared checkpoint folder. It
+    stays until ``release_staging`` or the end of the program: lazy results
+    may still read it."""
     root = ensure_checkpoint_dir(spark)
-    return os.path.join(root, "epilens-staging", f"{label}-{uuid.uuid4().hex}")
+    path = os.path.join(root, "epilens-staging", f"{label}-{uuid.uuid4().hex}")
+    if not _STAGED:
+        atexit.register(_release_at_exit)
+    _STAGED.append((spark, path))
+    return path
+
+
+def release_staging(spark: SparkSession) -> None:
+    """Delete everything that this program staged through ``spark``; call it
+    once the results are consumed."""
+    jvm, sc = spark._jvm, spark.sparkContext
+    for entry in [e for e in _STAGED if e[0] is spark]:
+        path = jvm.org.apache.hadoop.fs.Path(entry[1])
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        _STAGED.remove(entry)
+
+
+def _release_at_exit() -> None:
+    for spark in {id(e[0]): e[0] for e in _STAGED}.values():
+        if spark.sparkContext._jsc is not None:
+            release_staging(spark)

@@ -1,7 +1,7 @@
 """The reference's three inputs, derived by Spark from the driver tables.
 
 The pandemic files themselves are not available, so the same *shapes* are
-built from the TPC-H-like tables, and every derived row grows with them:
+built from the TPC-H-like tables:
 
 * ``case_table``  -- long table, one row per region x month x case type,
   counts cumulative to date (the case CSV). Orders are the new cases: the
@@ -16,6 +16,10 @@ built from the TPC-H-like tables, and every derived row grows with them:
 * ``event_values`` -- one row per event with an integer value, for the
   fine-grained (per event) lag.
 
+Every row of those tables is read. The case table has a row per nation,
+segment, type and month, so its row count is bounded by those, however many
+orders it sums; ``event_values`` and the line totals grow with the input.
+
 Counts are integer cents so that sums are exact and order-independent.
 """
 
@@ -24,9 +28,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..fixed import CONFIRMED, COUNTRY_CODE, DEATHS
+from ..fixed import CASE_DATE_PATTERN, CONFIRMED, COUNTRY_CODE, DEATHS
 from ..functions.stats import cents
-from .files import keep_per_session, read_parquet
+from .files import read_parquet
+
+# Columns of the driver tables (FIXTURES.md section 3).
+SCHEMAS = {
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
 
 # Mapping of the driver tables onto the reference's inputs: order status ->
 # case type (the two analysed types are fixed values; P is a third type that
@@ -36,14 +54,19 @@ INDICATORS = {
     "arrivals": ("International arrivals (units shipped)", "ST.INT.ARVL"),
     "expenditure": ("Discount as % of gross revenue", "SH.XPD.CHEX.GD.ZS"),
 }
-YEARS = [str(y) for y in range(1994, 2002)]  # 1994 has no shipments: an all-empty column
+# Year columns of the wide tables; 1994 has no shipments: an all-empty column.
+# A ship year outside them fails the job.
+YEARS = [str(y) for y in range(1994, 2002)]
 WORLD_CODE = "WLD"
+# Basis points by exact integer division (the product leaves a long at world
+# sums near 1e15), then percent; null without revenue.
+_PERCENT = "CAST((CAST({d} AS DECIMAL(38, 0)) * 10000) div nullif({g}, 0) AS DOUBLE) / 100.0D"
 
 SERIES_KEYS = ["Case_Type", "iso3", "Province_State"]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> DataFrame:
-    return read_parquet(spark, f"{sf_dir.rstrip('/')}/{name}.parquet", columns)
+    return read_parquet(spark, f"{sf_dir.rstrip('/')}/{name}.parquet", columns, SCHEMAS[name])
 
 
 def country_code(nation_key: str | Column) -> Column:
@@ -88,7 +111,6 @@ def population(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@keep_per_session
 def case_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cumulative case table in the layout of the case CSV (date as
     ``MM/dd/yyyy`` text).
@@ -100,13 +122,11 @@ def case_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     partition holds one series' months, never the raw rows.
     """
     # The reporting period ends with the last month of the orders table: a
-    # scalar subquery over one column (partial max per task), no join.
-    # Observations are kept to the period (always true here); referencing
-    # the subquery in the first stage starts it next to the scan, and the
-    # later use below reuses its result instead of waiting for it.
+    # scalar subquery over one column (partial max per task), no join. The
+    # maximum is taken of the raw dates, one value is cut to its month.
     orders = _table(spark, sf_dir, "orders", ["o_orderdate"])
-    last_month = orders.agg(F.max(F.trunc(F.to_date("o_orderdate"), "month"))).scalar()
-    monthly = new_cases(spark, sf_dir).where(F.col("month") <= last_month)
+    last_month = orders.agg(F.trunc(F.to_date(F.max("o_orderdate")), "month")).scalar()
+    monthly = new_cases(spark, sf_dir)
     by_series = Window.partitionBy(*SERIES_KEYS).orderBy("month")
     runs = monthly.select(
         *SERIES_KEYS,
@@ -127,7 +147,7 @@ def case_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.select(
         "Case_Type",
         "Cases",
-        F.date_format("day", "MM/dd/yyyy").alias("Date"),
+        F.date_format("day", CASE_DATE_PATTERN).alias("Date"),
         F.concat_ws(", ", "iso3", "Province_State").alias("Combined_Key"),
         "Province_State",
         "iso3",
@@ -172,17 +192,20 @@ def shipments_by_supplier_year(spark: SparkSession, sf_dir: str, years: tuple[st
     )
 
 
-@keep_per_session
 def indicator_wide(spark: SparkSession, sf_dir: str, indicator: str, years: tuple[str, ...] | None = None) -> DataFrame:
     """Wide indicator table: Country Name, Country Code, Indicator Name,
     Indicator Code, then one double column per year. Region (``R01``) and
     world (``WLD``) aggregate rows are included, as in the World Bank files.
     ``years`` limits the table to the year columns an analysis will pick, so
-    only those ship years are scanned and aggregated."""
+    only those ship years are scanned and aggregated. Without it, a ship year
+    that has no column raises an error."""
     name, code = INDICATORS[indicator]
     base = shipments_by_supplier_year(spark, sf_dir, years)
     keys = ["r_regionkey", "r_name", "n_nationkey", "n_name"]
-    wanted = [y for y in YEARS if not years or y in years]
+    wanted = [str(y) for y in sorted({int(y) for y in years})] if years else YEARS
+    known = F.col("year").isin([int(y) for y in wanted]) | F.col("year").isNull()
+    unknown = F.raise_error(F.format_string("no column for ship year %d", F.col("year"))).cast("int")
+    base = base.withColumn("year", F.when(known, F.col("year")).otherwise(unknown))
 
     # one conditional sum per year (a pivot that also works under grouping sets)
     def per_year(y: str) -> list[Column]:
@@ -196,8 +219,7 @@ def indicator_wide(spark: SparkSession, sf_dir: str, indicator: str, years: tupl
     def value(y: str) -> Column:
         if indicator == "arrivals":
             return F.expr(f"CAST(`{y}` AS DOUBLE) AS `{y}`")
-        # basis points by exact integer division, then percent
-        return F.expr(f"CAST((_d{y} * 10000) div _g{y} AS DOUBLE) / 100.0D AS `{y}`")
+        return F.expr(_PERCENT.format(d=f"_d{y}", g=f"_g{y}") + f" AS `{y}`")
 
     wide = base.groupingSets([keys, keys[:2], []], *keys).agg(
         F.grouping("n_nationkey").alias("_gn"),
@@ -218,6 +240,44 @@ def indicator_wide(spark: SparkSession, sf_dir: str, indicator: str, years: tupl
     )
 
 
+def order_line_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order with the total of its line items: null for an order that
+    has none."""
+    orders = _table(spark, sf_dir, "orders", ["o_orderkey", "o_orderstatus"])
+    lines = _table(spark, sf_dir, "lineitem", ["l_orderkey", "l_extendedprice"])
+    totals = lines.groupBy("l_orderkey").agg(F.sum(cents("l_extendedprice")).alias("line_cents"))
+    return orders.join(totals, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
+        "o_orderkey", "o_orderstatus", "line_cents"
+    )
+
+
+def customer_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer with the total of its orders (null without orders)."""
+    orders = _table(spark, sf_dir, "orders", ["o_custkey", "o_totalprice"])
+    totals = orders.groupBy("o_custkey").agg(F.sum(cents("o_totalprice")).alias("total_cents"))
+    customer = _table(spark, sf_dir, "customer", ["c_custkey"])
+    return customer.join(totals, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "total_cents")
+
+
+def indicator_pair(spark: SparkSession, sf_dir: str, expenditure_year: str, arrivals_year: str) -> DataFrame:
+    """(iso3, expenditure, arrivals) of the nations from one read of the line
+    items: both ship years in one filter, one partial aggregate per (supplier,
+    year), one supplier join. The same values as the two wide tables give."""
+    years = tuple(dict.fromkeys((expenditure_year, arrivals_year)))
+    base = shipments_by_supplier_year(spark, sf_dir, years)
+    of = lambda year, value: F.sum(F.when(F.col("year") == int(year), F.col(value)))
+    sums = base.groupBy("n_nationkey").agg(
+        of(expenditure_year, "disc_cents").alias("_d"),
+        of(expenditure_year, "gross_cents").alias("_g"),
+        of(arrivals_year, "qty").cast("double").alias("arrivals"),
+    )
+    return sums.select(
+        country_code("n_nationkey").alias("iso3"),
+        F.expr(_PERCENT.format(d="_d", g="_g")).alias("expenditure"),
+        "arrivals",
+    )
+
+
 def event_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with an integer value (cents) and a unique order (ts, event_id)."""
     ev = _table(spark, sf_dir, "events", ["event_id", "ts", "value"])

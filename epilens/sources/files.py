@@ -12,17 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 # so we reject it instead.
 CSV_OPTIONS = frozenset(
     {
-        "sep", "delimiter", "encoding", "charset", "quote", "quoteall", "escape",
-        "escapequotes", "comment", "header", "inferschema", "preferdate",
-        "enabledatetimeparsingfallback", "ignoreleadingwhitespace",
-        "ignoretrailingwhitespace", "nullvalue", "nanvalue", "positiveinf",
-        "negativeinf", "dateformat", "timestampformat", "timestampntzformat",
-        "maxcolumns", "maxcharspercolumn", "mode", "columnnameofcorruptrecord",
-        "multiline", "chartoescapequoteescaping", "samplingratio", "emptyvalue",
-        "locale", "linesep", "unescapedquotehandling", "enforceschema",
-        "compression", "codec", "pathglobfilter", "recursivefilelookup",
-        "modifiedbefore", "modifiedafter", "ignorecorruptfiles",
-        "ignoremissingfiles", "lineSep".lower(),
+        "charset", "chartoescapequoteescaping", "codec", "columnnameofcorruptrecord", "comment", "compression",
+        "dateformat", "delimiter", "emptyvalue", "enabledatetimeparsingfallback", "encoding", "enforceschema",
+        "escape", "escapequotes", "extension", "header", "ignorecorruptfiles", "ignoreleadingwhitespace",
+        "ignoremissingfiles", "ignoretrailingwhitespace", "inferschema", "linesep", "locale", "maxcharspercolumn",
+        "maxcolumns", "mode", "modifiedafter", "modifiedbefore", "multiline", "nanvalue", "negativeinf", "nullvalue",
+        "pathglobfilter", "positiveinf", "preferdate", "quote", "quoteall", "recursivefilelookup", "samplingratio",
+        "sep", "singlevariantcolumn", "timeformat", "timestampformat", "timestampntzformat", "timezone",
+        "unescapedquotehandling",
     }
 )
 
@@ -65,45 +62,17 @@ def write_csv(df: DataFrame, path: str, *, delimiter: str = ",", header: bool =
     return path
 
 
-_RELATIONS: dict[tuple, DataFrame] = {}
-
-
-def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """Parquet relation; the handle (file listing + footer schema, no data)
-    is kept per session and path, like a catalog table. Column selection
-    prunes the scan's ReadSchema."""
-    key = (id(spark), path)
-    df = _RELATIONS.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = _RELATIONS[key] = spark.read.parquet(path)
+def read_parquet(
+    spark: SparkSession, path: str, columns: list[str] | None = None, schema: str | None = None
+) -> DataFrame:
+    """Parquet relation over the files that are there now: every call lists
+    them anew. Column selection prunes the scan's ReadSchema. A given
+    ``schema`` saves the job that reads the footers."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    df = reader.parquet(path)
     return df.select(*columns) if columns else df
 
 
-def forget_relations() -> None:
-    """Drop the kept relation handles and derived plans (after files were
-    replaced)."""
-    _RELATIONS.clear()
-
-
-def keep_per_session(build):
-    """Keep the DataFrame (a lazy plan, no data) a builder returns, per
-    session and arguments: an input table is planned once and every query
-    derives from the same plan, as one would keep a cleaned table in a
-    variable. Nothing is cached in memory or on disk."""
-
-    def wrapper(spark: SparkSession, *args):
-        key = (build.__module__, build.__qualname__, id(spark), args)
-        df = _RELATIONS.get(key)
-        if df is None or getattr(df, "sparkSession", spark) is not spark:
-            df = _RELATIONS[key] = build(spark, *args)
-        return df
-
-    wrapper.__doc__ = build.__doc__
-    wrapper.__name__ = build.__name__
-    wrapper.__wrapped__ = build
-    return wrapper
-
-
 def register_view(df: DataFrame, name: str) -> DataFrame:
     """Name a DataFrame for SQL, replacing an older view of that name."""
     df.createOrReplaceTempView(name)

@@ -198,6 +198,29 @@ FROM (SELECT CAST(Number_Of_Cases AS DOUBLE) AS x, AVG(CAST(Number_Of_Cases AS D
 """
 
 
+def _latest(date: str) -> str:
+    return (
+        "SELECT iso3, CAST(SUM(Cases) AS BIGINT) AS Number_Of_Cases, CAST(SUM(Population_Count) AS BIGINT) AS Population, "
+        f"MAX(Date) AS Date FROM cases_clean WHERE Case_Type = 'Confirmed' AND Date = ({date}) GROUP BY iso3"
+    )
+
+
+def _listing(name: str) -> str:
+    """Schema listing of a wide table, from the engine's own description of it."""
+    kinds = "CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' ELSE lower(column_type) END"
+    columns = ["Country Name", "Country Code", "Indicator Name", "Indicator Code", *YEARS]
+    rows = ", ".join(f"({i}, '{c}')" for i, c in enumerate(columns, 1))
+    types = "".join(f", typeof(any_value(\"{c}\")) AS \"{c}\"" for c in columns)
+    body = f"SELECT 1 AS one{types} FROM {name}_wide"
+    unpivot = " UNION ALL ".join(f"SELECT '{c}' AS column_name, \"{c}\" AS column_type FROM k" for c in columns)
+    return (
+        f"SELECT * FROM (WITH {CASES},{INDICATORS}, k AS ({body}), u AS ({unpivot}) "
+        f"SELECT CAST(o.ordinal AS INTEGER) AS ordinal, column_name, {kinds} AS data_type, "
+        f"column_name NOT IN ('Country Code', 'Indicator Name', 'Indicator Code') AS nullable, '{name}' AS input "
+        f"FROM u JOIN (VALUES {rows}) AS o(ordinal, name) ON o.name = column_name) AS l"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     wide_cols = ", ".join(['"Country Name"', '"Country Code"', '"Indicator Name"', '"Indicator Code"'] + [f'"{y}"' for y in YEARS])
     q: dict[str, str] = {
@@ -215,14 +238,46 @@ def oracle_sql() -> dict[str, str]:
             "(2, 'Cases', CASE WHEN (SELECT MAX(ABS(Cases)) FROM cases_raw) <= 2147483647 THEN 'int' ELSE 'bigint' END), "
             "(3, 'Date', 'string'), (4, 'Combined_Key', 'string'), (5, 'Province_State', 'string'), (6, 'iso3', 'string'), "
             "(7, 'Population_Count', CASE WHEN (SELECT MAX(ABS(Population_Count)) FROM cases_raw) <= 2147483647 "
-            "THEN 'int' ELSE 'bigint' END)) AS t(ordinal, column_name, data_type)"
+            "THEN 'int' ELSE 'bigint' END)) AS t(ordinal, column_name, data_type), (SELECT true AS nullable) AS n"
+        ),
+        "schema_columns_indicators": _listing("arrivals") + " UNION ALL " + _listing("expenditure"),
+        "schema_contract": _with(
+            "SELECT t.*, n_rows FROM (VALUES "
+            + ", ".join(
+                f"('{i}', '{c}', '{f}', '{k}')"
+                for i, c, f, k in [
+                    (i, c, "date" if (i, c) == ("clean_cases", "Date") else f, "date" if (i, c) == ("clean_cases", "Date") else k)
+                    for i in ("cases", "clean_cases")
+                    for c, f, k in (
+                        ("Case_Type", "string", "string"), ("Cases", "integral", "bigint"), ("iso3", "string", "string"),
+                        ("Population_Count", "integral", "bigint"), ("Date", "date_or_string", "string"),
+                    )
+                ]
+                + [(i, "Country Code", "string", "string") for i in ("arrivals", "expenditure")]
+            )
+            + ") AS t(input, column_name, contract, data_type) JOIN ("
+            "SELECT 'cases' AS input, COUNT(*) AS n_rows FROM cases_raw UNION ALL SELECT 'clean_cases', COUNT(*) FROM cases_clean "
+            "UNION ALL SELECT 'arrivals', COUNT(*) FROM arrivals_wide UNION ALL SELECT 'expenditure', COUNT(*) FROM expenditure_wide"
+            ") AS c ON t.input = c.input",
+            True,
         ),
-        "schema_contract": _with(f"SELECT {CLEAN_COLS} FROM cases_clean"),
         "project_columns": _with("SELECT Case_Type, Cases, iso3, Population_Count, Date FROM cases_raw"),
         "parse_date_column": _with(
             "SELECT Case_Type, Cases, iso3, Population_Count, CAST(strptime(Date, '%m/%d/%Y') AS DATE) AS Date FROM cases_raw"
         ),
         "drop_null_rows": _with(f"SELECT {CLEAN_COLS} FROM cases_clean"),
+        "drop_null_rows_outer": (
+            "SELECT o_orderkey, o_orderstatus, CAST(SUM(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS line_cents "
+            "FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL"
+        ),
+        "join_inner_unmatched": (
+            "SELECT l.doc_id, quality, n_chars FROM labels AS l JOIN documents AS d ON l.doc_id = d.doc_id WHERE lang = 'en'"
+        ),
+        "rank_customers": (
+            "SELECT c_custkey, total_cents, row_number() OVER (ORDER BY total_cents DESC NULLS LAST, c_custkey) AS rank FROM ("
+            "SELECT c_custkey, CAST(SUM(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS total_cents "
+            "FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey) AS t"
+        ),
         "filter_case_type": _with(f"SELECT {CLEAN_COLS} FROM cases_clean WHERE Case_Type = 'Confirmed'"),
         "rename_columns": _with(
             "SELECT Case_Type, Cases AS Deaths, iso3, Population_Count, Date FROM cases_clean WHERE Case_Type = 'Deaths'"
@@ -250,11 +305,8 @@ def oracle_sql() -> dict[str, str]:
             "SELECT iso3, ROUND(AVG(Cases), 6) AS Average_Cases, CAST(SUM(Population_Count) AS BIGINT) AS Population "
             f"FROM cases_clean WHERE Case_Type = 'Confirmed' AND Date = {SNAPSHOT} GROUP BY iso3"
         ),
-        "latest_snapshot": _with(
-            "SELECT iso3, CAST(SUM(Cases) AS BIGINT) AS Number_Of_Cases, CAST(SUM(Population_Count) AS BIGINT) AS Population, "
-            "MAX(Date) AS Date FROM cases_clean WHERE Case_Type = 'Confirmed' "
-            "AND Date = (SELECT MAX(Date) FROM cases_clean WHERE Case_Type = 'Confirmed') GROUP BY iso3"
-        ),
+        "latest_snapshot": _with(_latest("SELECT MAX(Date) FROM cases_clean")),
+        "latest_snapshot_of_type": _with(_latest("SELECT MAX(Date) FROM cases_clean WHERE Case_Type = 'Confirmed'")),
         "rank_keys_by_measure": _with(
             "SELECT iso3, Number_Of_Cases, Population, "
             "row_number() OVER (ORDER BY Number_Of_Cases DESC NULLS LAST, iso3) AS rank FROM cases_per_country"
@@ -294,7 +346,8 @@ def oracle_sql() -> dict[str, str]:
         "chart_share_by_key": _with(_share_sql("cases_per_country", "Number_Of_Cases")),
         "chart_share_deaths_by_key": _with(_share_sql("deaths_per_country", "Number_Of_Deaths")),
         "chart_series_over_time": _with(
-            "SELECT Date, CAST(SUM(Cases) AS BIGINT) AS Cases FROM cases_clean WHERE Case_Type = 'Confirmed' GROUP BY Date"
+            "SELECT Case_Type, Date, CAST(SUM(Cases) AS BIGINT) AS value FROM cases_clean "
+            "WHERE Case_Type IN ('Confirmed', 'Deaths') GROUP BY ALL"
         ),
         "chart_series_deaths_over_time": _with(
             "SELECT Date, CAST(SUM(Cases) AS BIGINT) AS Deaths FROM cases_clean WHERE Case_Type = 'Deaths' GROUP BY Date"

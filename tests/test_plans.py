@@ -53,14 +53,32 @@ def test_case_type_filter_pushed_below_window(spark):
 
 def test_ranking_has_no_single_partition_over_rows(spark):
     """The only SinglePartition exchange of the distributed row number is
-    over the per-range counts (one row per range)."""
-    df = Q.QUERIES["rank_keys_by_measure"](spark, SF_SMALL)
-    text = plan_text(df, "formatted")
-    # the range step ran already (checkpointed); what is left is the per-range
-    # offset window -- the only SinglePartition exchange
+    over the per-bucket counts (one row per bucket)."""
+    text = plan_text(Q.QUERIES["rank_customers"](spark, SF_SMALL), "formatted")
     assert len(re.findall(r"Exchange SinglePartition", text)) <= 1
 
 
+def test_event_lag_shuffles_the_events_once(spark):
+    """One exchange carries whole event rows; the other two carry one row per
+    bucket and task, and one per bucket."""
+    df = Q.QUERIES["lag_bucketed"](spark, SF_SMALL)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    exchanges = [line for line in final.splitlines() if re.search(r"[ -]Exchange ", line)]
+    rows = [line for line in exchanges if "hashpartitioning(_bucket" in line]
+    assert len(rows) <= 2 and "CheckpointRDD" not in final and "Scan ExistingRDD" not in final
+
+
+@pytest.mark.parametrize("name,table,most", [
+    ("corr_all_pairs", "lineitem", 1), ("split_by_case_type", "orders", 2), ("daily_new_cases", "orders", 2),
+])
+def test_scans_of_large_tables(spark, name, table, most):
+    """Orders are read once for the rows and once, one column, for the last month."""
+    text = plan_text(Q.QUERIES[name](spark, SF_SMALL), "formatted")
+    places = re.findall(rf"Location: [^\n]*/{table}\.parquet", text)
+    assert 0 < len(places) <= most
+
+
 def test_indicator_join_not_forced_broadcast(spark):
     """No explicit broadcast hint on data that grows with the input: the
     join strategy is AQE's, from measured sizes."""

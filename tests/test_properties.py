@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
-from epilens.operators import chartdata, correlation
+from epilens.operators import chartdata, correlation, ordering
 from epilens.operators.ordering import global_lag, global_row_number
 from epilens.plans import queries as Q
 
@@ -21,18 +21,18 @@ HSET = settings(max_examples=8, deadline=None, suppress_health_check=[HealthChec
 def test_global_row_number_matches_window(spark, rows):
     data = [(i, k, v) for i, (k, v) in enumerate(rows)]
     df = spark.createDataFrame(data, "id long, k long, v long")
-    got = {r["id"]: r["rn"] for r in global_row_number(df, ["k", F.col("v").desc(), "id"], "rn", num_ranges=4).collect()}
+    got = {r["id"]: r["rn"] for r in global_row_number(df, ["k", "v", "id"], "rn", num_ranges=4, descending=["v"]).collect()}
     ref = df.withColumn("rn", F.row_number().over(Window.orderBy("k", F.col("v").desc(), "id")))
     assert got == {r["id"]: r["rn"] for r in ref.collect()}
 
 
-@pytest.mark.parametrize("segment_rows", [1, 3, 1000])
-def test_global_lag_matches_window_with_hot_key(spark, segment_rows):
+@pytest.mark.parametrize("num_ranges", [1, 5, 40])
+def test_global_lag_matches_window_with_hot_key(spark, num_ranges):
     rnd = random.Random(7)
     # one timestamp holds a third of the rows: ties broken by the id
     data = [(i, 0 if i % 3 == 0 else rnd.randint(1, 40), rnd.choice([None, rnd.randint(-9, 9)])) for i in range(150)]
     df = spark.createDataFrame(data, "id long, ts long, v long")
-    got = {r["id"]: r["prev"] for r in global_lag(df, "v", ["ts", "id"], "prev", segment_rows=segment_rows, num_ranges=5).collect()}
+    got = {r["id"]: r["prev"] for r in global_lag(df, "v", ["ts", "id"], "prev", num_ranges=num_ranges).collect()}
     ref = df.withColumn("prev", F.lag("v").over(Window.orderBy("ts", "id")))
     assert got == {r["id"]: r["prev"] for r in ref.collect()}
 
@@ -95,13 +95,34 @@ def test_share_total_from_subquery_equals_sum(spark):
     assert got == {"a": 5 / 8, "b": 3 / 8}
 
 
-def test_global_row_number_with_coalesced_ranges(spark):
-    """No explicit range count: AQE may merge adjacent ranges; numbering must
-    stay equal to the single-partition window, also with a hot value."""
+def test_a_hot_value_is_split_over_buckets(spark):
+    """No bucket holds most rows of a value with a third of all rows."""
+    data = [(i, 5 if i % 3 == 0 else i) for i in range(3000)]
+    df = spark.createDataFrame(data, "id long, k long")
+    for down in ((), ["k"], ["id"], ["k", "id"]):
+        sizes = [r["count"] for r in ordering._bucketed(df, ["k", "id"], down, 12).groupBy("_bucket").count().collect()]
+        assert sum(sizes) == 3000 and max(sizes) < 600
+        got = {r["id"]: r["rn"] for r in global_row_number(df, ["k", "id"], "rn", 12, down).collect()}
+        order = [F.col(c).desc() if c in down else F.col(c) for c in ("k", "id")]
+        ref = df.withColumn("rn", F.row_number().over(Window.orderBy(*order)))
+        assert got == {r["id"]: r["rn"] for r in ref.collect()}
+
+
+def test_nulls_in_a_global_order(spark):
+    data = [(i, None if i % 4 == 0 else i % 7) for i in range(200)]
+    df = spark.createDataFrame(data, "id long, k long")
+    for down, key in (((), F.col("k").asc_nulls_first()), (["k"], F.col("k").desc_nulls_last())):
+        got = {r["id"]: r["rn"] for r in global_row_number(df, ["k", "id"], "rn", 6, down).collect()}
+        ref = df.withColumn("rn", F.row_number().over(Window.orderBy(key, "id")))
+        assert got == {r["id"]: r["rn"] for r in ref.collect()}
+
+
+def test_global_row_number_with_default_ranges(spark):
+    """Numbering equals the single-partition window, also with a hot value."""
     rnd = random.Random(3)
     data = [(i, 5 if i % 3 == 0 else rnd.randint(0, 10_000)) for i in range(3000)]
     df = spark.createDataFrame(data, "id long, k long")
-    got = {r["id"]: r["rn"] for r in global_row_number(df, [F.col("k").desc(), "id"], "rn").collect()}
+    got = {r["id"]: r["rn"] for r in global_row_number(df, ["k", "id"], "rn", descending=["k"]).collect()}
     ref = df.withColumn("rn", F.row_number().over(Window.orderBy(F.col("k").desc(), "id")))
     assert got == {r["id"]: r["rn"] for r in ref.collect()}
 

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from epilens.session import staging_path
 from epilens.sources import driver_tables as D
-from epilens.sources.files import forget_relations
 
 
 @pytest.fixture()
@@ -38,7 +37,8 @@ def skewed_dir(spark):
         }
     )
     root = staging_path(spark, "t-skew")
-    spark.createDataFrame(customers).write.parquet(f"{root}/customer.parquet")
+    cdf = spark.createDataFrame(customers).withColumn("c_nationkey", F.col("c_nationkey").cast("int"))
+    cdf.write.parquet(f"{root}/customer.parquet")
     odf = spark.createDataFrame(orders).withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
     odf.write.parquet(f"{root}/orders.parquet")
     return root, customers, orders
@@ -68,7 +68,6 @@ def test_hot_customer_exact_and_split(spark, skewed_dir):
     try:
         for k, v in conf.items():
             spark.conf.set(k, v)
-        forget_relations()
         monthly = D.new_cases(spark, root)
         got = {(r[0], r[1], r[2], r[3]): r[4] for r in monthly.collect()}
         assert got == _brute_monthly(customers, orders)
@@ -81,4 +80,3 @@ def test_hot_customer_exact_and_split(spark, skewed_dir):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
-        forget_relations()

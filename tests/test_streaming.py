@@ -5,7 +5,7 @@ import datetime as dt
 import os
 
 from epilens.session import staging_path
-from epilens.streaming import case_file_stream, run_to_table, totals_by_date_stream
+from epilens.streaming import case_file_stream, totals_from_rows, update_case_rows
 
 HEADER = "Case_Type,Cases,Date,Combined_Key,Province_State,iso3,Population_Count\n"
 
@@ -18,19 +18,36 @@ def _write(folder, name, lines):
 
 
 def _totals(spark, table):
-    return {r["Date"]: r["Number_Of_Cases"] for r in spark.read.parquet(table).collect()}
+    return {r["Date"]: r["Number_Of_Cases"] for r in totals_from_rows(spark, table).collect()}
 
 
-def test_stream_totals_and_restart(spark):
-    folder = staging_path(spark, "t-stream-src")
-    table = staging_path(spark, "t-stream-out")
-    ckpt = staging_path(spark, "t-stream-ckpt")
-    _write(folder, "day1.csv", ['Confirmed,5,04/16/2020,"A1, A",A1,AAA,100', "Deaths,1,04/16/2020,A1,A1,AAA,100"])
-    _write(folder, "day2.csv", ["Confirmed,9,04/17/2020,A1,A1,AAA,100", "Confirmed,7,04/17/2020,B,,BBB,300",
-                                "Confirmed,3,04/17/2020,X,,,300"])  # null iso3: dropped
-    run_to_table(totals_by_date_stream(case_file_stream(spark, folder, files_per_batch=1)), table, ckpt)
+def _run(spark, folder, table, ckpt):
+    update_case_rows(case_file_stream(spark, folder, files_per_batch=1), table, ckpt)
+
+
+def test_republished_history_replaces_and_restart_continues(spark):
+    folder, table, ckpt = (staging_path(spark, f"t-stream-{x}") for x in ("src", "out", "ckpt"))
+    day16 = ['Confirmed,5,04/16/2020,"A1, A",A1,AAA,100', "Deaths,1,04/16/2020,A1,A1,AAA,100"]
+    day17 = ["Confirmed,9,04/17/2020,A1,A1,AAA,100", "Confirmed,7,04/17/2020,B,,BBB,300",
+             "Confirmed,3,04/17/2020,X,,,300"]  # null iso3: dropped
+    _write(folder, "day1.csv", day16)
+    _run(spark, folder, table, ckpt)
+    assert _totals(spark, table) == {dt.date(2020, 4, 16): 5}
+    _write(folder, "day2.csv", day16 + day17)  # repeats 04-16
+    _run(spark, folder, table, ckpt)
     assert _totals(spark, table) == {dt.date(2020, 4, 16): 5, dt.date(2020, 4, 17): 16}
 
-    _write(folder, "day3.csv", ["Confirmed,14,04/19/2020,A1,A1,AAA,100", "Confirmed,11,04/19/2020,B,,BBB,300"])
-    run_to_table(totals_by_date_stream(case_file_stream(spark, folder, files_per_batch=1)), table, ckpt)
-    assert _totals(spark, table) == {dt.date(2020, 4, 16): 5, dt.date(2020, 4, 17): 16, dt.date(2020, 4, 19): 25}
+    corrected = ["Confirmed,8,04/17/2020,A1,A1,AAA,100", "Confirmed,14,04/19/2020,A1,A1,AAA,100", "Confirmed,11,04/19/2020,B,,BBB,300"]
+    _write(folder, "day3.csv", corrected)
+    _write(folder, "day4.csv", day16)
+    _run(spark, folder, table, ckpt)
+    assert _totals(spark, table) == {dt.date(2020, 4, 16): 5, dt.date(2020, 4, 17): 15, dt.date(2020, 4, 19): 25}
+
+
+def test_unfinished_version_is_not_read(spark):
+    folder, table, ckpt = (staging_path(spark, f"t-stream2-{x}") for x in ("src", "out", "ckpt"))
+    _write(folder, "day1.csv", ["Confirmed,5,04/16/2020,A1,A1,AAA,100"])
+    _run(spark, folder, table, ckpt)
+    local = table[len("file:"):] if table.startswith("file:") else table
+    os.makedirs(f"{local}/v7")  # a batch that died while writing
+    assert _totals(spark, table) == {dt.date(2020, 4, 16): 5}
