@@ -5,8 +5,8 @@ vocabulary is resolved by a minimal perfect hash over all entries: one seed
 per small group of keys sends every entry to a slot of its own, and the entry
 stored there is compared. A miss is merged: a heap holds the ranks of
 adjacent pairs over a doubly linked list of its bytes, and the lowest rank is
-merged first (leftmost on ties), as the rank file prescribes. Each distinct
-pre-token is resolved once per task (bounded cache).
+merged first (leftmost on ties), as the rank file prescribes. Resolved
+pre-tokens are cached (bounded).
 
 The vocabulary (50k entries) is read on the driver from ``ranks_path`` and
 sent with the task: its size does not depend on the data.
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,8 @@ from pyspark.sql import types as T
 
 from epilens.llm.common import small_batches, to_bytes
 
-_KEEP = 200_000
+_KEEP = 300_000  # cached pre-tokens in each of two generations
+_NONE = 1 << 31  # an id that no pair has
 _ROWS = 256  # rows per output batch
 
 
@@ -81,78 +83,96 @@ class PerfectHash:
 
 
 class Vocabulary:
-    """Entries, their perfect hash and the byte ids."""
+    """Entries, their perfect hash, the ids of single bytes and, for every
+    split of an entry into two entries, the id of the whole."""
 
     def __init__(self, entries: list[bytes]):
         self.entries = entries
         self.hash = PerfectHash(entries)
+        self.bytes = [self.rank(bytes([b])) for b in range(256)]
+        self.pairs: dict[int, int] = {}
+        for whole, entry in enumerate(entries):
+            for k in range(1, len(entry)):
+                left = self.rank(entry[:k])
+                right = self.rank(entry[k:]) if left >= 0 else -1
+                if right >= 0:
+                    self.pairs[left << 32 | right] = whole
+        self.encoders: dict[str, Encoder] = {}
+
+    def encoder(self, pattern: str) -> Encoder:
+        """One per pattern: tasks that run in the same Python worker share
+        what it has cached."""
+        if pattern not in self.encoders:
+            self.encoders[pattern] = Encoder(self, pattern)
+        return self.encoders[pattern]
 
     def rank(self, piece: bytes) -> int:
         i = self.hash.candidate(piece)
         return i if i >= 0 and self.entries[i] == piece else -1
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of a pre-token that is no entry."""
-        n = len(piece)
-        end = list(range(1, n + 1))  # a part is piece[i:end[i]]
-        prev = list(range(-1, n - 1))
-        alive = [True] * n
-        heap: list[tuple[int, int, int]] = []
-
-        def offer(i: int) -> None:
-            j = end[i]
-            if j < n:
-                r = self.rank(piece[i : end[j]])
-                if r >= 0:
-                    heapq.heappush(heap, (r, i, end[j]))
-
-        for i in range(n - 1):
-            offer(i)
+        """Ids of a pre-token that is no entry. A part starts at byte i, has
+        the id ids[i] and is followed by the part at after[i]; pair[i] is the
+        id of both together (-1: no entry). The heap holds id << 32 | i."""
+        single, get, pop, push = self.bytes, self.pairs.get, heapq.heappop, heapq.heappush
+        ids = [single[b] for b in piece]
+        if -1 in ids:
+            raise ValueError("a byte is not in the vocabulary")
+        n = len(ids)
+        pair = [get(x << 32 | y, -1) for x, y in zip(ids, ids[1:])]
+        heap = [r << 32 | i for i, r in enumerate(pair) if r >= 0]
+        heapq.heapify(heap)
+        # two spare places: no part follows the last one, none precedes the first
+        ids += (_NONE, _NONE)
+        pair += (-1, -1, -1)
+        after = list(range(1, n + 2))
+        before = [n + 1, *range(n)]
         while heap:
-            _, i, stop = heapq.heappop(heap)
-            j = end[i]
-            if not alive[i] or j >= n or end[j] != stop:
+            x = pop(heap)
+            i = x & 0xFFFFFFFF
+            r = x >> 32
+            if pair[i] != r:
                 continue  # one of the two parts has been merged since
-            alive[j] = False
-            end[i] = stop
-            if stop < n:
-                prev[stop] = i
-            offer(i)
-            if prev[i] >= 0:
-                offer(prev[i])
-        ids = []
-        i = 0
-        while i < n:
-            r = self.rank(piece[i : end[i]])
-            if r < 0:
-                raise ValueError("a byte is not in the vocabulary")
-            ids.append(r)
-            i = end[i]
-        return ids
+            j = after[i]
+            k = after[i] = after[j]
+            h = before[i]
+            ids[i] = r
+            ids[j] = pair[j] = -1
+            before[k] = i
+            pair[i] = x = get(r << 32 | ids[k], -1)
+            if x >= 0:
+                push(heap, x << 32 | i)
+            pair[h] = x = get(ids[h] << 32 | r, -1)
+            if x >= 0:
+                push(heap, x << 32 | h)
+        return [x for x in ids[:n] if x >= 0]
 
 
 class Encoder(dict):
-    """Pre-token -> ids, cached."""
+    """Pre-token -> its ids as 32-bit integers in bytes, cached. When the
+    cache is full it becomes the older generation, from which entries still in
+    use are taken over."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         super().__init__()
         self.vocabulary, self.split = vocabulary, regex.compile(pattern).findall
-
-    def __missing__(self, token: str) -> tuple[int, ...]:
-        piece = to_bytes(token)
-        r = self.vocabulary.rank(piece)
-        ids = (r,) if r >= 0 else tuple(self.vocabulary.merge(piece))
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, token: str) -> bytes:
+        ids = self.older.get(token)
+        if ids is None:
+            piece = to_bytes(token)
+            r = self.vocabulary.rank(piece)
+            ids = array("i", (r,) if r >= 0 else self.vocabulary.merge(piece)).tobytes()
         if len(token) < 64:
             if len(self) >= _KEEP:
+                self.older = dict(self)
                 self.clear()
             self[token] = ids
         return ids
 
     def encode(self, text: str | None) -> np.ndarray:
-        out: list[int] = []
-        for ids in map(self.__getitem__, self.split(text or "")):
-            out += ids
-        return np.array(out, np.int32)
+        return np.frombuffer(b"".join(map(self.__getitem__, self.split(text or ""))), np.int32)
 
 
 def _fields(df: DataFrame, drop: str) -> list[T.StructField]:
@@ -168,7 +188,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text") ->
     schema = T.StructType([*fields, T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocab.value, pattern)
+        encoder = vocab.value.encoder(pattern)
         for whole in batches:
             for at in range(0, whole.num_rows, _ROWS):
                 b = whole.slice(at, _ROWS)
@@ -190,16 +210,17 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "token_ids") -> DataFrame:
     schema = T.StructType([*fields, T.StructField("decoded", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = entries.value
+        table, none = entries.value, pa.array([], pa.int32())
         for whole in batches:
             for at in range(0, whole.num_rows, _ROWS):
                 b = whole.slice(at, _ROWS)
                 out = []
                 for x in b.column(b.schema.get_field_index(ids)):
-                    own = x.values.to_pylist() if x.is_valid else []
-                    if own and (None in own or min(own) < 0 or max(own) >= len(table)):
+                    own = x.values if x.is_valid else none
+                    numbers = own.to_numpy(zero_copy_only=False)
+                    if own.null_count or len(own) and not (numbers.min() >= 0 and numbers.max() < len(table)):
                         raise ValueError("an id is outside the vocabulary")
-                    out.append(b"".join(map(table.__getitem__, own)))
+                    out.append(b"".join(map(table.__getitem__, numbers.tolist())))
                 yield pa.RecordBatch.from_arrays(
                     [*[b.column(n) for n in names], pa.array(out, pa.binary())], names=[*names, "decoded"]
                 )
