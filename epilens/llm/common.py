@@ -3,10 +3,17 @@ shingle hashes, cutting lineage in the shared folder."""
 
 from __future__ import annotations
 
+import gc
+import tempfile
+import time
+import zipfile
+from pathlib import Path
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+import epilens
 from epilens.session import ensure_checkpoint_dir, staging_path
 
 # ASCII letters lowered, every other ASCII byte that is no digit a separator,
@@ -79,17 +86,33 @@ def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
     return np.unique(shingle_hashes(words, width))
 
 
-def cut(df: DataFrame) -> DataFrame:
+def _free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps whose result is written:
+    its cleaner does so once the driver's JVM has collected their handles,
+    which otherwise may wait until long after the disk is full. The first
+    collection frees what holds the query, the second the handles."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
+
+
+def cut(df: DataFrame, wide: bool = False) -> DataFrame:
     """The rows of ``df``, computed once and kept in the shared checkpoint
-    folder: later jobs read them there, whichever executors are lost."""
+    folder: later jobs read them there, whichever executors are lost. ``wide``:
+    much more was shuffled for them than they are."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if wide:
+        _free_shuffles(df.sparkSession)
+    return out
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
     """As ``cut``, but as a compressed Parquet table: for wide rows."""
     path = staging_path(df.sparkSession, label)
     df.write.parquet(path)
+    _free_shuffles(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -104,9 +127,26 @@ def fresh(df: DataFrame, name: str) -> str:
 BATCH_ROWS, BATCH_BYTES = 500, "8m"
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound what an Arrow batch holds (it lies in the executor, outside its
-    heap, and in the Python worker) by bytes, and by rows for short texts."""
+def _ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, wherever they run and however the
+    driver found it: Spark copies one small archive of its code to them."""
+    sc = spark.sparkContext
+    if getattr(sc, "_epilens_shipped", False):
+        return
+    root = Path(epilens.__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="epilens-code-")) / "epilens_code.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._epilens_shipped = True
+
+
+def prepare(spark: SparkSession) -> None:
+    """What every operator with Python tasks needs first: the code on the
+    workers, and a bound by bytes (and by rows for short texts) on an Arrow
+    batch, which lies in the executor outside its heap and in the worker."""
+    _ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from epilens.llm.common import ALNUM_FOLD, alnum_words, small_batches, to_bytes
+from epilens.llm.common import ALNUM_FOLD, alnum_words, prepare, to_bytes
 from epilens.llm.fm_index import FMIndex
 
 WIDTH = 10
@@ -218,7 +218,7 @@ def find_contamination(
     ``spans`` (hit word ranges, merged), ``items`` (ids with an occurring
     window, ascending), ``n_hit`` and, if ``cleaned``, the text without the
     spans."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     keep = [c for c in (keep or [doc_id]) if c.lower() not in RESULT]
     items = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("item_id"), F.col(f"`{item_text}`").alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]

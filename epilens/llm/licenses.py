@@ -8,9 +8,9 @@ template's words that are matched. A notice is reported where the coverage is
 at least ``coverage`` and the matched words span at most ``1 / DENSITY`` times
 the template (plus ``SLACK`` words).
 
-Only windows that hold enough words of the template can reach the coverage;
-they are found by running counts over the whole text, so that clean text is
-never aligned. Each document is handled within its row: nothing is shuffled.
+Only windows that hold enough words of the template, each as often as the
+template has it at most, can reach the coverage; they are found by running
+counts over the whole text, so that clean text is never aligned. Each document is handled within its row: nothing is shuffled.
 
 Cases: null, empty and wordless texts have no notice; several notices, also
 adjacent copies of one, are reported each; a template without words raises
@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epilens.llm.common import alnum_words, small_batches
+from epilens.llm.common import alnum_words, prepare
 
 COVERAGE, DENSITY, SLACK = 0.8, 0.67, 4
 
@@ -150,6 +150,7 @@ class Scanner:
             raise ValueError("a template has no words")
         self.coverage = coverage
         self.numbers = {w: i for i, w in enumerate(dict.fromkeys(w for t in self.words for w in t))}
+        self.bags = [sorted(Counter(self.numbers[w] for w in t).items()) for t in self.words]
         self.member = np.zeros((len(self.words), len(self.numbers) + 1), bool)  # the last: any other word
         for k, t in enumerate(self.words):
             self.member[k, [self.numbers[w] for w in t]] = True
@@ -159,6 +160,7 @@ class Scanner:
         return int(len(self.words[k]) / DENSITY) + SLACK
 
     def need(self, k: int) -> int:
+        """Fewest matched words of a notice of template k."""
         return int(np.ceil(self.coverage * len(self.words[k]) - 1e-9))
 
     def _align(self, words: list[bytes], k: int, at: int) -> Notice | None:
@@ -173,12 +175,16 @@ class Scanner:
         get = self.numbers.get
         ids = np.fromiter((get(w, other) for w in words), np.int32, len(words))
         out: list[Notice] = []
-        if (ids != other).sum() < min(map(self.need, range(len(self.words)))):
-            return out
         for k in range(len(self.words)):
             count = np.concatenate([[0], np.cumsum(self.member[k][ids])])
             ends = np.minimum(np.arange(len(words)) + self.reach(k), len(words))
             starts = np.flatnonzero(count[ends] - count[:-1] >= self.need(k))
+            if len(starts):
+                most = np.zeros(len(starts), np.int64)
+                for w, n in self.bags[k]:
+                    count = np.concatenate([[0], np.cumsum(ids == w)])
+                    most += np.minimum(count[ends[starts]] - count[starts], n)
+                starts = starts[most >= self.need(k)]
             free = 0
             for at in starts.tolist():
                 if at < free:
@@ -207,7 +213,7 @@ _NOTICES = "array<struct<license:string,kind:string,start:bigint,stop:bigint,cov
 def scan(docs: DataFrame, text: str = "text", templates=TEMPLATES, coverage: float = COVERAGE) -> DataFrame:
     """``docs`` with ``notices``: licence, kind, word range and coverage."""
     Scanner(templates, coverage)  # bad templates fail here
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     @F.pandas_udf(_NOTICES)
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

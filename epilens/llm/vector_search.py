@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from epilens.llm.common import small_batches, stage
+from epilens.llm.common import prepare, stage
 
 SAMPLE, PIVOTS, ANNULI = 4096, 32, 64
 BLOCK, QUERY_CHUNK, STEP = 2048, 4096, 256
@@ -88,7 +88,7 @@ def build_index(vectors: DataFrame, vec_id: str, vector: str, scale: int):
     """(indexed rows, pivots, blocks): blocks is a small table (at most
     dimensions x PIVOTS x ANNULI rows, counts only)."""
     spark = vectors.sparkSession
-    small_batches(spark)
+    prepare(spark)
     rows = quantized(vectors, vec_id, vector, scale)
     rows = stage(rows, "vectors")
     sample = [np.array(r[0]) for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()]

@@ -39,7 +39,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epilens.llm.common import small_batches
+from epilens.llm.common import prepare
 from epilens.session import staging_path
 
 MIN_REVISIT = 1000
@@ -126,7 +126,7 @@ def mark_revisits(
 
 def write_warc(records: DataFrame, folder: str) -> DataFrame:
     """Write ``mark_revisits`` rows as archives under ``folder``; the manifest."""
-    small_batches(records.sparkSession)
+    prepare(records.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _filesystem(folder)
@@ -253,6 +253,7 @@ def _page(urn: str) -> int | None:
 def read_warc(spark: SparkSession, manifest: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload: bool = True) -> DataFrame:
     """Records of the listed archives. A revisit has the digest and length of
     the full payload, from its header, and no payload."""
+    prepare(spark)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
