@@ -18,7 +18,7 @@ from epilens.plans.inspect import plan_text  # noqa: E402
 from epilens.plans.queries import QUERIES  # noqa: E402
 
 NAMES = ["snapshot_cases_by_key", "skewness_measure", "corr_arrivals_cases", "daily_new_cases",
-         "corr_all_pairs", "latest_snapshot", "chart_share_by_key", "lag_bucketed"]
+         "corr_all_pairs", "latest_snapshot", "chart_share_by_key", "lag_bucketed", "rank_customers"]
 
 
 def tree(text: str) -> str:
