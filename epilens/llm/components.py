@@ -38,7 +38,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if sums == before or not sums[0]:
             break
         before = sums
-        cur = cut(_small_star(_large_star(cur).distinct()).distinct())
+        cur = cut(_small_star(_large_star(cur)).distinct())
     roots = cur.select(F.col("v").alias("node")).distinct()
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         roots.select("node", F.col("node").alias("component"))

@@ -7,12 +7,16 @@ fixed probe sequence (optimal densification). ``BAND_ROWS`` bins make a band;
 documents that agree on a band share a bucket.
 
 Equal sets are one class, represented by its smallest id. Classes of a bucket
-are linked in a star, so a bucket of n gives at most a few n pairs: to its
-smallest id and to its hub, the member that shares most bucket places with
-others (the origin of a family of copies). Buckets whose members end in
-several components are tried again with other centres: the hub of another
-component and a member drawn by hash. Every link is confirmed on the full sets
-of both texts.
+are linked in a star, first around its smallest id. A document is compared with
+at most ``CENTRES`` centres per turn, those that it shares most buckets with, so
+the pairs of a turn are at most as many times the documents, whatever the size
+of a bucket. Buckets whose members end in several components take part in the
+next turn: the members outside the component of the bucket's hub (the member
+that shares most bucket places with others, such as the origin of a family of
+copies) are compared with the hub, the smallest id and a member drawn by hash,
+and only they and these centres go on to the turn after that. The turns end
+when one confirms no new link. Every link is confirmed on the full sets of
+both texts.
 
 Cases: null, empty or wordless texts have the empty set and are linked with
 nothing; a text of fewer words than ``width`` is one shingle; rows without id
@@ -31,11 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epilens.llm.common import WordHash, cut, fresh, mix64, shingle_set, small_batches, space_words, stage
+from epilens.llm.common import WordHash, cut, fresh, mix64, prepare, shingle_set, space_words, stage
 from epilens.llm.components import connected_components
 
-BINS, BAND_ROWS = 128, 5
-ROUNDS = 3
+BINS, BAND_ROWS = 128, 6  # 21 bands: at similarity 0.85 a pair shares none with probability 5e-5
+CENTRES = 3  # per document and turn
 _SHIFT = np.uint64(64 - BINS.bit_length() + 1)
 _SIGNATURE = "doc_id long, n_shingles long, set_id binary, bands array<long>"
 
@@ -76,7 +80,7 @@ def bands(sig: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHash()
@@ -121,59 +125,50 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _pairs(stars: DataFrame) -> DataFrame:
-    """Distinct (a, b) of stars (centre, centre_n, doc, n): the centre stays
-    on the side of a, so that its set is built once for a run of rows."""
-    return stars.select(F.col("centre").alias("a"), F.col("doc").alias("b")).distinct()
-
-
 def near_duplicates(
     docs: DataFrame,
     doc_id: str = "doc_id",
     text: str = "text",
     width: int = 5,
     percent: int = 80,
-    rounds: int = ROUNDS,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per document row."""
     sig = stage(signatures(docs, doc_id, text, width), "minhash-signatures")
     classes = sig.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
     first = sig.join(classes, (sig.set_id == classes.set_id) & (sig.doc_id == classes.rep), "left_semi")
-    places = first.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), F.explode("bands").alias("h"))
+    places = first.select(F.col("doc_id").alias("doc"), F.explode("bands").alias("h"))
     shared = places.groupBy("h").agg(F.count("*").alias("size"), F.min("doc").alias("low"), F.max("doc").alias("high"))
-    places = places.join(shared.where("low <> high").select("h", "size", "low"), "h")
-    places = stage(places, "minhash-buckets")  # h, doc, n, size, low: only where two classes meet
-    weight = places.groupBy("doc").agg(F.sum("size").alias("weight"))
-    places = cut(places.select("h", "doc", "n").join(weight, "doc"))
+    places = stage(places.join(shared.where("low <> high").drop("high"), "h"), "minhash-buckets")
+    # a document is in one bucket per band: the lists are short
+    members = places.groupBy("doc").agg(F.sum("size").alias("weight"), F.collect_list("low").alias("lows"))
+    members = cut(members.join(first.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n")).distinct(), "doc"))
 
     own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    texts = stage(own.join(weight.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi"), "minhash-texts")
-
-    links, tested = None, None
-    split = places.withColumn("component", F.col("doc"))
-    for turn in range(rounds):
-        if turn:
-            found = connected_components(links, "a", "b")
-            split = places.join(found, places.doc == found.node, "left").withColumn(
-                "component", F.coalesce("component", "doc")
-            )
-        stars = _stars(split, turn)
-        pairs = _pairs(stars.where(100 * F.least("n", "centre_n") >= percent * F.greatest("n", "centre_n")))
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            pairs = pairs.join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        new = cut(confirm(pairs, texts, width, percent))
-        links = new if links is None else links.union(new)
-        tested = pairs if tested is None else tested.union(pairs)
+    texts = stage(own.join(members.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi"), "minhash-texts")
+
+    pairs = cut(_most_shared(members.select("doc", F.array_remove("lows", F.col("doc")).alias("centres"))))
+    links = cut(confirm(pairs, texts, width, percent), wide=True)
+    tested, buckets, turn = pairs, places.select("h", "doc"), 0
+    while True:
+        turn += 1
+        found = connected_components(links, "a", "b")
+        known = members.select("doc", "n", "weight").join(found, F.col("doc") == F.col("node"), "left")
+        known = known.withColumn("component", F.coalesce("component", "doc")).drop("node")
+        left = cut(_outside(buckets.join(known, "doc"), turn))
+        pairs = cut(_untested(left, tested, percent))
+        new = cut(confirm(pairs, texts, width, percent), wide=True)
         if new.isEmpty():
             break
+        links, tested = links.union(new), tested.union(pairs)
+        centres = [left.select("h", F.col(f"{c}.doc").alias("doc")) for c in ("hub", "low", "drawn")]
+        buckets = left.select("h", "doc").union(centres[0]).union(centres[1]).union(centres[2]).distinct()
 
     # an id that stands in several classes ties them together
     named = sig.join(classes, "set_id").select("doc_id", "rep").where("doc_id IS NOT NULL").distinct()
     several = named.groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y")
-    ties = named.join(several.select("doc_id"), "doc_id", "left_semi")
-    found = connected_components(links.union(ties.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))), "a", "b")
+    ties = cut(named.join(several.select("doc_id"), "doc_id", "left_semi"))
+    if not ties.isEmpty():  # else the last turn, which added no link, has them
+        found = connected_components(links.union(ties.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))), "a", "b")
     of_class = classes.join(found, classes.rep == found.node, "left").select(
         "set_id", F.coalesce("component", "rep").alias("component_id")
     )
@@ -186,26 +181,46 @@ def near_duplicates(
     )
 
 
-def _stars(split: DataFrame, turn: int) -> DataFrame:
-    """(centre, centre_n, doc, n): a few centres per bucket, each with the
-    members outside its component. split: (h, doc, n, weight, component)."""
+def _most_shared(rows: DataFrame) -> DataFrame:
+    """(a, b) of (doc, centres): the centres that stand in the list most
+    often, the smaller first on ties."""
+    distinct = F.array_distinct("centres")
+    counted = F.transform(
+        distinct, lambda c: F.struct(F.size(F.filter("centres", lambda x: x == c)).alias("shared"), (-c).alias("minus"))
+    )
+    best = F.slice(F.sort_array(counted, asc=False), 1, CENTRES)
+    return rows.select(F.explode(best).alias("c"), F.col("doc").alias("b")).select((-F.col("c.minus")).alias("a"), "b")
+
+
+def _outside(rows: DataFrame, turn: int) -> DataFrame:
+    """Members outside the component of their bucket's hub, with the bucket's
+    centres. rows: (h, doc, n, weight, component)."""
     member = F.struct("doc", "n", "component")
-    drawn = F.xxhash64("doc", "h", F.lit(turn))
-    by_weight = F.struct("weight", -F.col("doc"))
-    if not turn:
-        centres = split.groupBy("h").agg(F.max_by(member, by_weight).alias("c1"), F.min_by(member, "doc").alias("c2"))
-    else:
-        hub = split.groupBy("h").agg(
-            F.max_by("component", by_weight).alias("main"), F.min("component").alias("x"), F.max("component").alias("y")
-        )
-        split = split.join(hub.where("x <> y").drop("x", "y"), "h")
-        other = F.when(F.col("component") != F.col("main"), by_weight)
-        centres = split.groupBy("h").agg(F.max_by(member, other).alias("c1"), F.max_by(member, drawn).alias("c2"))
-        split = split.drop("main")
-    rows = split.join(centres, "h").withColumn("c", F.explode(F.array_distinct(F.array("c1", "c2"))))
-    return rows.where(F.col("c.component") != F.col("component")).select(
-        F.col("c.doc").alias("centre"), F.col("c.n").alias("centre_n"), "doc", "n"
+    centres = rows.groupBy("h").agg(
+        F.max_by(member, F.struct("weight", -F.col("doc"))).alias("hub"),
+        F.min_by(member, "doc").alias("low"),
+        F.max_by(member, F.xxhash64("doc", "h", F.lit(turn))).alias("drawn"),
+        F.min("component").alias("x"),
+        F.max("component").alias("y"),
     )
+    centres = centres.where("x <> y").select(F.col("h").alias("of"), "hub", "low", "drawn")
+    return rows.join(centres, (F.col("h") == F.col("of")) & (F.col("component") != F.col("hub.component"))).drop("of")
+
+
+def _untested(left: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
+    """(a, b): members with the centres that they have not met, outside their
+    component, and of a size that allows a link."""
+
+    def fits(c):
+        size = 100 * F.least(c["n"], F.col("n")) >= percent * F.greatest(c["n"], F.col("n"))
+        return (c["component"] != F.col("component")) & size
+
+    centres = F.transform(F.filter(F.array("hub", "low", "drawn"), fits), lambda c: c["doc"])
+    met = tested.groupBy("b").agg(F.collect_list("a").alias("met"))  # at most CENTRES per turn
+    lists = left.groupBy("doc").agg(F.flatten(F.collect_list(centres)).alias("centres"))
+    lists = lists.join(met, F.col("doc") == F.col("b"), "left")
+    unmet = F.filter("centres", lambda c: ~F.coalesce(F.array_contains("met", c), F.lit(False)))
+    return _most_shared(lists.select("doc", unmet.alias("centres")))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
