@@ -135,7 +135,10 @@ def near_duplicates(
     """(doc_id, n_shingles, component_id, kept) per document row."""
     sig = stage(signatures(docs, doc_id, text, width), "minhash-signatures")
     classes = sig.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    first = sig.join(classes, (sig.set_id == classes.set_id) & (sig.doc_id == classes.rep), "left_semi")
+    # kept, so that the joins on set_id have plain exchanges, whose hot groups Spark splits
+    classes = cut(classes.select(F.col("set_id").alias("class_id"), "rep"))
+    own_class = F.col("set_id") == F.col("class_id")
+    first = sig.join(classes, own_class & (F.col("doc_id") == F.col("rep")), "left_semi")
     places = first.select(F.col("doc_id").alias("doc"), F.explode("bands").alias("h"))
     shared = places.groupBy("h").agg(F.count("*").alias("size"), F.min("doc").alias("low"), F.max("doc").alias("high"))
     places = stage(places.join(shared.where("low <> high").drop("high"), "h"), "minhash-buckets")
@@ -164,16 +167,16 @@ def near_duplicates(
         buckets = left.select("h", "doc").union(centres[0]).union(centres[1]).union(centres[2]).distinct()
 
     # an id that stands in several classes ties them together
-    named = sig.join(classes, "set_id").select("doc_id", "rep").where("doc_id IS NOT NULL").distinct()
+    named = sig.join(classes, own_class).select("doc_id", "rep").where("doc_id IS NOT NULL").distinct()
     several = named.groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y")
     ties = cut(named.join(several.select("doc_id"), "doc_id", "left_semi"))
     if not ties.isEmpty():  # else the last turn, which added no link, has them
         found = connected_components(links.union(ties.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))), "a", "b")
-    of_class = classes.join(found, classes.rep == found.node, "left").select(
-        "set_id", F.coalesce("component", "rep").alias("component_id")
+    of_class = classes.join(found, F.col("rep") == F.col("node"), "left").select(
+        "class_id", F.coalesce("component", "rep").alias("component_id")
     )
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return sig.drop("bands").join(of_class, "set_id", "left").select(
+    return sig.drop("bands").join(of_class, own_class, "left").select(
         "doc_id",
         "n_shingles",
         component.alias("component_id"),
