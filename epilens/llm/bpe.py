@@ -34,9 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from epilens.llm.common import small_batches, to_bytes
+from epilens.llm.common import prepare, to_bytes
 
-_KEEP = 300_000  # cached pre-tokens in each of two generations
+_KEEP = 450_000  # cached pre-tokens in each of two generations
+_PLACES = list(range(514))
 _NONE = 1 << 31  # an id that no pair has
 _ROWS = 256  # rows per output batch
 
@@ -90,6 +91,8 @@ class Vocabulary:
         self.entries = entries
         self.hash = PerfectHash(entries)
         self.bytes = [self.rank(bytes([b])) for b in range(256)]
+        if -1 in self.bytes:
+            raise ValueError("a byte is not in the vocabulary")
         self.pairs: dict[int, int] = {}
         for whole, entry in enumerate(entries):
             for k in range(1, len(entry)):
@@ -97,6 +100,7 @@ class Vocabulary:
                 right = self.rank(entry[k:]) if left >= 0 else -1
                 if right >= 0:
                     self.pairs[left << 32 | right] = whole
+        self.two_bytes = [[self.rank(bytes([a, b])) for b in range(256)] for a in range(256)]
         self.encoders: dict[str, Encoder] = {}
 
     def encoder(self, pattern: str) -> Encoder:
@@ -114,19 +118,16 @@ class Vocabulary:
         """Ids of a pre-token that is no entry. A part starts at byte i, has
         the id ids[i] and is followed by the part at after[i]; pair[i] is the
         id of both together (-1: no entry). The heap holds id << 32 | i."""
-        single, get, pop, push = self.bytes, self.pairs.get, heapq.heappop, heapq.heappush
-        ids = [single[b] for b in piece]
-        if -1 in ids:
-            raise ValueError("a byte is not in the vocabulary")
-        n = len(ids)
-        pair = [get(x << 32 | y, -1) for x, y in zip(ids, ids[1:])]
+        two, get, pop, push = self.two_bytes, self.pairs.get, heapq.heappop, heapq.heappush
+        n = len(piece)
+        pair = [two[x][y] for x, y in zip(piece, piece[1:])]
         heap = [r << 32 | i for i, r in enumerate(pair) if r >= 0]
         heapq.heapify(heap)
         # two spare places: no part follows the last one, none precedes the first
-        ids += (_NONE, _NONE)
+        ids = [*map(self.bytes.__getitem__, piece), _NONE, _NONE]
         pair += (-1, -1, -1)
-        after = list(range(1, n + 2))
-        before = [n + 1, *range(n)]
+        after = _PLACES[1 : n + 2] if n < 512 else list(range(1, n + 2))
+        before = [n + 1, *_PLACES[:n]] if n < 512 else [n + 1, *range(n)]
         while heap:
             x = pop(heap)
             i = x & 0xFFFFFFFF
@@ -181,7 +182,7 @@ def _fields(df: DataFrame, drop: str) -> list[T.StructField]:
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
     """``df`` with ``token_ids array<int>``."""
-    small_batches(df.sparkSession)
+    prepare(df.sparkSession)
     vocab = df.sparkSession.sparkContext.broadcast(Vocabulary(read_ranks(ranks_path)))
     fields = _fields(df, "token_ids")
     names = [f.name for f in fields]
@@ -203,7 +204,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text") ->
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "token_ids") -> DataFrame:
     """``df`` with ``decoded binary``, the bytes of its ids."""
-    small_batches(df.sparkSession)
+    prepare(df.sparkSession)
     entries = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
     fields = _fields(df, "decoded")
     names = [f.name for f in fields]
