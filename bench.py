@@ -1,8 +1,7 @@
 """Benchmark the headline queries.
 
-Runs every query ``WARM_UPS`` times to warm up (all of them before the first
-timed run, so that none is timed on a colder JVM than another), then
-``BENCH_RUNS`` timed runs into the ``noop`` sink (the whole plan executes,
+Runs all queries in turn, ``WARM_UPS`` times to warm up and ``BENCH_RUNS`` times
+timed (in turn, so that none is timed on a colder JVM than another), into the ``noop`` sink (the whole plan executes,
 nothing is collected). Every run lists its files and plans anew. Prints
 ONE JSON line: {"metric", "value" (sum of the medians of the four
 BASELINE-shape queries), "unit", "queries": {name: median sec}, "extra":
@@ -67,7 +66,8 @@ def main() -> None:
     for _ in range(WARM_UPS):
         for name in names:
             run(name)
-    timings = {name: round(statistics.median(run(name) for _ in range(runs)), 3) for name in names}
+    samples = [{name: run(name) for name in names} for _ in range(runs)]
+    timings = {name: round(statistics.median(s[name] for s in samples), 3) for name in names}
 
     m = re.search(r"sf([0-9.]+)", sf_dir)
     head = {k: v for k, v in timings.items() if k in HEADLINE}
