@@ -15,8 +15,13 @@ next turn: the members outside the component of the bucket's hub (the member
 that shares most bucket places with others, such as the origin of a family of
 copies) are compared with the hub, the smallest id and a member drawn by hash,
 and only they and these centres go on to the turn after that. The turns end
-when one confirms no new link. Every link is confirmed on the full sets of
-both texts.
+when one confirms no new link. Then every pair that shares a bucket, and whose
+ends are in different components, is compared on the full sets: in a bucket of
+at most ``PAIRED`` members pair by pair (those not met before), in a larger one
+by blocks of its members, each block against each other one in a group of its
+own, so that a task holds one block whatever the size of the bucket. Pairs
+within the bucket's largest component are left out, since they are linked.
+Every link is confirmed on the full sets of both texts.
 
 Cases: null, empty or wordless texts have the empty set and are linked with
 nothing; a text of fewer words than ``width`` is one shingle; rows without id
@@ -40,6 +45,8 @@ from epilens.llm.components import connected_components
 
 BINS, BAND_ROWS = 128, 6  # 21 bands: at similarity 0.85 a pair shares none with probability 5e-5
 CENTRES = 3  # per document and turn
+PAIRED = 32  # members of a bucket that is compared pair by pair
+BLOCK, BLOCK_SHINGLES = 256, 1 << 18  # of a larger one, on average
 _SHIFT = np.uint64(64 - BINS.bit_length() + 1)
 _SIGNATURE = "doc_id long, n_shingles long, set_id binary, bands array<long>"
 
@@ -165,6 +172,15 @@ def near_duplicates(
         links, tested = links.union(new), tested.union(pairs)
         centres = [left.select("h", F.col(f"{c}.doc").alias("doc")) for c in ("hub", "low", "drawn")]
         buckets = left.select("h", "doc").union(centres[0]).union(centres[1]).union(centres[2]).distinct()
+    rest = cut(_rest(places.select("h", "doc").join(known, "doc")))
+    pairs = _unmet_pairs(rest.where(F.col("members") <= PAIRED), tested, percent)
+    new = cut(confirm(pairs, texts, width, percent), wide=True)
+    blocks = rest.where(F.col("members") > PAIRED)
+    if not blocks.isEmpty():
+        new = new.union(cut(_block_links(blocks, texts, width, percent), wide=True))
+    if not new.isEmpty():
+        links = links.union(new)
+        found = connected_components(links, "a", "b")
 
     # an id that stands in several classes ties them together
     named = sig.join(classes, own_class).select("doc_id", "rep").where("doc_id IS NOT NULL").distinct()
@@ -226,6 +242,166 @@ def _untested(left: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
     return _most_shared(lists.select("doc", unmet.alias("centres")))
 
 
+def _rest(rows: DataFrame) -> DataFrame:
+    """Members of the buckets with several components, with whether each is in
+    the bucket's largest component (``inside``) and the blocks of either side.
+    rows: (h, doc, n, weight, component)."""
+    sizes = rows.groupBy("h", "component").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
+    sizes = sizes.groupBy("h").agg(
+        F.max_by(F.struct("component", "size", "shingles"), F.struct("size", "component")).alias("top"),
+        F.sum("size").alias("members"),
+        F.sum("shingles").alias("shingles"),
+    )
+    sizes = sizes.where(F.col("members") > F.col("top.size"))
+
+    def blocks(size, shingles):
+        return F.ceil(F.greatest(size / BLOCK, shingles / BLOCK_SHINGLES)).cast("int")
+
+    sizes = sizes.select(
+        F.col("h").alias("of"),
+        F.col("top.component").alias("largest"),
+        "members",
+        blocks(F.col("top.size"), F.col("top.shingles")).alias("in_blocks"),
+        blocks(F.col("members") - F.col("top.size"), F.col("shingles") - F.col("top.shingles")).alias("out_blocks"),
+    )
+    found = rows.join(sizes, F.col("h") == F.col("of"))
+    return found.select(
+        "h", "doc", "n", "component", "members", "in_blocks", "out_blocks", (F.col("component") == F.col("largest")).alias("inside")
+    )
+
+
+def _unmet_pairs(rest: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all pairs of a bucket in different components, of sizes that
+    allow a link, that were not compared in a turn."""
+    lists = rest.groupBy("h").agg(F.collect_list(F.struct("doc", "n", "component")).alias("all"))
+    rows = lists.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y"))
+    x, y = F.col("x"), F.col("y")
+    fits = 100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"])
+    rows = rows.where((x["doc"] < y["doc"]) & (x["component"] != y["component"]) & fits)
+    met = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return rows.select(x["doc"].alias("a"), y["doc"].alias("b")).distinct().join(met, ["a", "b"], "left_anti")
+
+
+def _block_links(rest: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): links that join the components of a bucket, by comparing every
+    block of the members outside its largest component with every block of
+    either side; of each two blocks a spanning forest of the links."""
+    sides = rest.withColumn("blocks", F.when(F.col("inside"), F.col("in_blocks")).otherwise(F.col("out_blocks")))
+    own = F.pmod(F.xxhash64("doc", "h"), F.col("blocks")).cast("int")
+
+    def upto(n):
+        return F.sequence(F.lit(0), n - 1)
+
+    def meeting(i, j, inside: bool, held):
+        return F.struct(i.alias("i"), j.alias("j"), F.lit(inside).alias("with_inside"), held.alias("held"))
+
+    out = F.concat(
+        F.transform(upto(F.col("out_blocks")), lambda k: meeting(F.least(k, F.col("own")), F.greatest(k, F.col("own")), False, F.col("own") <= k)),
+        F.transform(upto(F.col("in_blocks")), lambda k: meeting(F.col("own"), k, True, F.lit(True))),
+    )
+    inside = F.transform(upto(F.col("out_blocks")), lambda k: meeting(k, F.col("own"), True, F.lit(False)))
+    meetings = sides.withColumn("own", own).select(
+        "h", "doc", "component", F.explode(F.when(F.col("inside"), inside).otherwise(out)).alias("m")
+    )
+    meetings = meetings.select("h", "doc", "component", "m.i", "m.j", "m.with_inside", "m.held")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHash()
+        for b in batches:
+            found = [shingle_set(words.of(space_words(t.as_py())), width).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["id", "shingles"])
+
+    wanted = texts.join(rest.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    wanted = wanted.select("doc_id", "text").mapInArrow(sets, "id long, shingles binary")
+    # a representative that stands with several texts has a set of each
+    rows = meetings.join(wanted, F.col("doc") == F.col("id")).drop("id")
+
+    def pairs_batch(pairs):
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, block = None, None  # rows come sorted: a block's own members first
+        for b in batches:
+            keys = list(zip(*(b.column(k).to_pylist() for k in ("h", "i", "j", "with_inside"))))
+            out: list[tuple[int, int]] = []
+            for key, doc, part, held, own in zip(keys, *(b.column(k) for k in ("doc", "component", "held", "shingles"))):
+                if key != at:
+                    out += _own_links(at, block)
+                    at, block = key, _Block(percent)
+                own = np.frombuffer(own.as_buffer(), np.uint64)
+                out += block.meet(doc.as_py(), part.as_py(), own, held.as_py())
+            if out:
+                yield pairs_batch(out)
+        out = _own_links(at, block)
+        if out:
+            yield pairs_batch(out)
+
+    n = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("h"), F.col("i"), F.col("j"), F.col("with_inside"), F.col("held").desc(), F.col("doc")]
+    dealt = rows.repartition(n, "h", "i", "j", "with_inside").sortWithinPartitions(*order)
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _own_links(at, block: _Block | None) -> list[tuple[int, int]]:
+    """Links within a block, in the group where it meets itself."""
+    return block.among() if at is not None and at[1] == at[2] and not at[3] else []
+
+
+class _Block:
+    """The members of one block; each later member is compared with all of
+    them at once. Components that a link has joined are one from then on."""
+
+    def __init__(self, percent: int):
+        self.percent, self.root = percent, {}
+        self.docs, self.parts, self.sets, self.index = [], [], [], None
+
+    def _find(self, x: int) -> int:
+        while self.root.setdefault(x, x) != x:
+            self.root[x] = x = self.root[self.root[x]]
+        return x
+
+    def _built(self):
+        """Distinct shingles of the block, sorted, with the members that hold each."""
+        if self.index is None:
+            sizes = np.array([len(s) for s in self.sets])
+            flat = np.concatenate(self.sets)
+            holder = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.argsort(flat, kind="stable")
+            self.index = flat[order], holder[order], sizes
+        return self.index
+
+    def _counts(self, own: np.ndarray) -> np.ndarray:
+        flat, holder, sizes = self._built()
+        low, high = np.searchsorted(flat, own), np.searchsorted(flat, own, side="right")
+        many = high - low
+        ends = np.cumsum(many)
+        places = np.arange(ends[-1]) + np.repeat(low - (ends - many), many)
+        return np.bincount(holder[places], minlength=len(sizes))
+
+    def meet(self, doc: int, part: int, own: np.ndarray, held: bool) -> list[tuple[int, int]]:
+        if held:
+            self.docs.append(doc)
+            self.parts.append(part)
+            self.sets.append(own)
+            return []
+        return self._links(doc, part, own, len(self.docs)) if self.docs else []
+
+    def _links(self, doc: int, part: int, own: np.ndarray, upto: int) -> list[tuple[int, int]]:
+        both, sizes = self._counts(own)[:upto], self._built()[2][:upto]
+        near = np.flatnonzero((both > 0) & (100 * both >= self.percent * (sizes + len(own) - both)))
+        out = []
+        for k in near.tolist():
+            x, y = self._find(part), self._find(self.parts[k])
+            if x != y:
+                self.root[max(x, y)] = min(x, y)
+                out.append((min(doc, self.docs[k]), max(doc, self.docs[k])))
+        return out
+
+    def among(self) -> list[tuple[int, int]]:
+        """Links between the members of the block."""
+        return [p for k in range(1, len(self.docs)) for p in self._links(self.docs[k], self.parts[k], self.sets[k], k)]
+
+
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: the one with
     the smallest id. Rows without id all stay."""

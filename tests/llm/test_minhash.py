@@ -66,6 +66,31 @@ def test_equals_brute_force(spark, width, percent):
     assert sorted((tuple(r) for r in got), key=repr) == brute(rows, width, percent)
 
 
+def drifting(n, seed):
+    """A family without an origin: each text edits a drawn earlier one. Its
+    first third of words never changes, so that its buckets are large."""
+    r = random.Random(seed)
+    rows = [words(200, seed)]
+    for _ in range(n - 1):
+        w = list(r.choice(rows))
+        for _ in range(3):
+            w[r.randrange(70, 200)] = f"x{r.randrange(10**6)}"
+        rows.append(w)
+    order = list(range(n))
+    r.shuffle(order)
+    return [(i, " ".join(rows[k])) for i, k in enumerate(order)]
+
+
+@pytest.mark.parametrize("paired", [32, 2])  # pair by pair, and by blocks
+def test_hot_family_without_origin_equals_brute_force(spark, monkeypatch, paired):
+    monkeypatch.setattr(minhash, "PAIRED", paired, raising=False)
+    monkeypatch.setattr(minhash, "BLOCK", 8, raising=False)
+    for seed in (1, 2):
+        rows = drifting(150, seed)
+        got = minhash.near_duplicates(docs(spark, rows), width=3, percent=90).collect()
+        assert sorted((tuple(r) for r in got), key=repr) == brute(rows, 3, 90)
+
+
 def test_repeated_rows_null_ids_and_clashing_columns(spark):
     t = text(80, 5)
     rows = [(1, t), (1, t), (None, t), (2, t), (3, text(80, 6)), (None, None), (3, t)]
