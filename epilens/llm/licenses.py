@@ -6,7 +6,10 @@ gaps between anchors are aligned the same way; a gap without such words is
 aligned by its longest common subsequence. Coverage is the share of the
 template's words that are matched. A notice is reported where the coverage is
 at least ``coverage`` and the matched words span at most ``1 / DENSITY`` times
-the template (plus ``SLACK`` words).
+the template (plus ``SLACK`` words). Words that tell licences apart (``KEYS``
+and the template's version numbers) must all be matched, and none of them may
+stand unmatched within the notice; templates of at most ``WHOLE`` words must
+be matched in a row.
 
 Only windows that hold enough words of the template, each as often as the
 template has it at most, can reach the coverage; they are found by running
@@ -33,6 +36,12 @@ from pyspark.sql import functions as F
 from epilens.llm.common import alnum_words, prepare
 
 COVERAGE, DENSITY, SLACK = 0.8, 0.67, 4
+WHOLE = 4
+_BY = "This work is licensed under a Creative Commons Attribution"
+KEYS = set(
+    b"mit bsd isc apache mozilla gnu lesser library affero nc sa nd noncommercial sharealike noderivatives noderivs".split()
+)
+_VERSIONED = (b"version", b"v", b"attribution", b"international", b"by", b"nc", b"sa", b"nd", *KEYS)
 
 # Licence, kind, text of the notice.
 TEMPLATES: list[tuple[str, str, str]] = [
@@ -72,6 +81,23 @@ TEMPLATES: list[tuple[str, str, str]] = [
     ("CC-BY-4.0", "permissive", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "noncommercial", "Licensed under CC BY-NC 4.0."),
     ("All-Rights-Reserved", "proprietary", "Copyright. All rights reserved. No part may be reproduced without permission."),
+    ("All-Rights-Reserved", "proprietary", "All rights reserved."),
+    ("CC-BY-4.0", "permissive", "Licensed under CC BY 4.0."),
+    ("CC-BY-SA-4.0", "copyleft", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-ND-4.0", "noderivatives", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-NC-SA-4.0", "noncommercial", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-ND-4.0", "noncommercial", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC-BY-SA-4.0", "copyleft", f"{_BY}-ShareAlike 4.0 International License."),
+    ("CC-BY-ND-4.0", "noderivatives", f"{_BY}-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-4.0", "noncommercial", f"{_BY}-NonCommercial 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "noncommercial", f"{_BY}-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "noncommercial", f"{_BY}-NonCommercial-NoDerivatives 4.0 International License."),
+    ("BSD-2-Clause", "permissive", "Licensed under the BSD 2-Clause License."),
+    ("BSD-3-Clause", "permissive", "Licensed under the BSD 3-Clause License."),
+    ("ISC", "permissive", "Licensed under the ISC License."),
+    ("GPL-2.0", "copyleft", "This work is licensed under the GNU General Public License, version 2."),
+    ("LGPL-3.0", "copyleft", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("AGPL-3.0", "copyleft", "This work is licensed under the GNU Affero General Public License, version 3."),
 ]
 
 
@@ -151,10 +177,28 @@ class Scanner:
         self.coverage = coverage
         self.numbers = {w: i for i, w in enumerate(dict.fromkeys(w for t in self.words for w in t))}
         self.bags = [sorted(Counter(self.numbers[w] for w in t).items()) for t in self.words]
+        self.keys = [{j for j, w in enumerate(t) if w in KEYS or self._version(t, j)} for t in self.words]
         self.member = np.zeros((len(self.words), len(self.numbers) + 1), bool)  # the last: any other word
         for k, t in enumerate(self.words):
             self.member[k, [self.numbers[w] for w in t]] = True
 
+    @staticmethod
+    def _version(words: list[bytes], j: int) -> bool:
+        """Whether word j is a number that belongs to a version."""
+        while words[j].isdigit() and j:
+            j -= 1
+            if words[j] in _VERSIONED:
+                return True
+        return False
+
+    def _told_apart(self, words: list[bytes], k: int, pairs: list[tuple[int, int]]) -> bool:
+        own = words[: pairs[-1][0] + 1]
+        if len(self.words[k]) <= WHOLE and pairs[-1][0] - pairs[0][0] >= len(self.words[k]):
+            return False
+        hit = {i for i, _ in pairs}
+        more = (i for i in range(pairs[0][0], len(own)) if i not in hit)
+        return self.keys[k] <= {j for _, j in pairs} and not any(own[i] in KEYS or self._version(own, i) for i in more)
+
     def reach(self, k: int) -> int:
         """Longest span of a notice of template k, in words."""
         return int(len(self.words[k]) / DENSITY) + SLACK
@@ -165,7 +209,7 @@ class Scanner:
 
     def _align(self, words: list[bytes], k: int, at: int) -> Notice | None:
         pairs = patience(words[at : at + self.reach(k)], self.words[k])
-        if len(pairs) < self.need(k):
+        if len(pairs) < self.need(k) or not self._told_apart(words[at : at + self.reach(k)], k, pairs):
             return None
         return Notice(k, at + pairs[0][0], at + pairs[-1][0] + 1, len(pairs) / len(self.words[k]))
 

@@ -76,6 +76,31 @@ def test_every_template_is_found_at_its_place():
         assert [(L.TEMPLATES[x.template][0], x.start, x.stop, x.coverage) for x in got] == [(name, 3, 3 + n, 1.0), (name, 5 + n, 5 + 2 * n, 1.0)]
 
 
+@pytest.mark.parametrize(
+    "notice,names",
+    [
+        ("All rights reserved.", ["All-Rights-Reserved"]),
+        ("all of us have rights that were reserved", []),
+        ("Licensed under CC BY 4.0.", ["CC-BY-4.0"]),
+        ("Licensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0"]),
+        ("Licensed under CC BY-SA 4.0.", ["CC-BY-SA-4.0"]),
+        ("Licensed under CC BY-NC 3.0.", []),
+        ("Released under the MIT License.", ["MIT"]),
+        ("Released under the Foo License.", []),
+        ("Licensed under the BSD 3-Clause License.", ["BSD-3-Clause"]),
+        ("Licensed under the Apache License, Version 2.0.", ["Apache-2.0"]),
+        ("Licensed under the Apache License, Version 1.1.", []),
+        ("This work is licensed under the GNU General Public License, version 3.", ["GPL-3.0"]),
+        ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2.0"]),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", ["LGPL-3.0"]),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", ["CC-BY-NC-4.0"]),
+    ],
+)
+def test_licences_are_told_apart(notice, names):
+    found = L.Scanner().notices("some words before " + notice + " and after it")
+    assert [L.TEMPLATES[n.template][0] for n in found] == names
+
+
 def test_scan_of_documents(spark):
     mit = "Released under the MIT License."
     rows = [(1, f"{mit} {mit}"), (2, None), (3, ""), (None, mit), (4, "clean words"), (1, f"{mit} {mit}")]
