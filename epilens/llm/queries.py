@@ -9,7 +9,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epilens.llm import bpe, decontaminate, licenses, minhash, sharding, substring_dedup, toxicity, url_filter, vector_search, warc
+from epilens.llm import (
+    bpe,
+    decontaminate,
+    licenses,
+    line_dedup,
+    minhash,
+    sharding,
+    substring_dedup,
+    toxicity,
+    url_filter,
+    vector_search,
+    warc,
+)
 from epilens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,6 +121,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(docs, ["doc_id"]).select("doc_id", "slot", "shard")
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs, min_docs=10, min_chars=1).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash": op1_minhash,
     "op2_toxicity": op2_toxicity,
@@ -120,10 +139,13 @@ QUERIES: dict[str, Query] = {
     "op8_warc": op8_warc,
     "op9_bpe": op9_bpe,
     "op10_sharding": op10_sharding,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 _LOWER = f"translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.UPPER.lower()}')"
 _ALNUM = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_SPACE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_LINE_KEY = f"translate(trim(x, {_SPACE}), '{url_filter.UPPER}', '{url_filter.UPPER.lower()}')"
 _URL = "coalesce(url, '')"
 _HOST = f"translate(regexp_extract({_URL}, '^.*?://([^/?#]*)', 1, 's'), '{url_filter.UPPER}', '{url_filter.UPPER.lower()}')"
 _PATH = f"regexp_extract({_URL}, '^.*?://[^/?#]*([^?#]*)', 1, 's')"
@@ -201,4 +223,17 @@ ORACLE_SQL: dict[str, str] = {
             CASE WHEN n >= 1000 AND page_id <> last_id THEN 'revisit' ELSE 'response' END AS record_type,
             CASE WHEN n >= 1000 AND page_id <> last_id THEN last_id END AS refers_to
         FROM r""",
+    "op13_line_dedup": f"""
+        WITH lines AS (
+            SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS t FROM documents),
+        keys AS (SELECT r, doc_id, t, list_transform(t, lambda x: {_LINE_KEY}) AS k FROM lines),
+        hot AS (
+            SELECT k FROM (SELECT doc_id, unnest(k) AS k FROM keys)
+            WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10),
+        kept AS (
+            SELECT r, string_agg(x, chr(10) ORDER BY i) AS s, count(*) AS n
+            FROM (SELECT r, unnest(t) AS x, unnest(k) AS k, unnest(range(1, len(t) + 1)) AS i FROM keys)
+            WHERE k NOT IN (SELECT k FROM hot) GROUP BY r)
+        SELECT doc_id, len(t) AS n_lines, len(t) - coalesce(n, 0) AS n_dropped, sha256(coalesce(s, '')) AS kept_sha256
+        FROM keys LEFT JOIN kept USING (r)""",
 }
