@@ -15,6 +15,7 @@ from epilens.llm import (
     licenses,
     line_dedup,
     minhash,
+    periodic_runs,
     sharding,
     substring_dedup,
     toxicity,
@@ -121,6 +122,36 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(docs, ["doc_id"]).select("doc_id", "slot", "shard")
 
 
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Every tenth document by crc32 repeats p of its words from word a on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    docs = docs.withColumn("g", F.when(h % 10 == 0, F.floor(h / 10)))
+    docs = docs.withColumn("w", F.when(F.col("g").isNotNull(), F.filter(F.split("text", "[ \\x09-\\x0D]+"), lambda x: x != "")))
+    n, g, w = F.size("w"), F.col("g"), F.col("w")
+    a = (g % n).cast("int")
+    m = 3 + g % 8
+    p = (1 + F.floor((n - a) / m)).cast("int")
+    repeated = F.flatten(F.array_repeat(F.slice(w, a + 1, p), m.cast("int")))
+    planted = F.concat(F.slice(w, F.lit(1), a), F.slice(repeated, F.lit(1), n - a))
+    return docs.select("doc_id", F.when(n > 0, F.array_join(planted, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic_runs.find_runs(_with_planted_runs(docs)).withColumn("best", periodic_runs.strongest(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2(F.coalesce("collapsed", F.lit("")), 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs, min_docs=10, min_chars=1).select(
@@ -139,6 +170,7 @@ QUERIES: dict[str, Query] = {
     "op8_warc": op8_warc,
     "op9_bpe": op9_bpe,
     "op10_sharding": op10_sharding,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_line_dedup": op13_line_dedup,
 }
 
@@ -146,6 +178,11 @@ _LOWER = f"translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.UPPE
 _ALNUM = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _SPACE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LINE_KEY = f"translate(trim(x, {_SPACE}), '{url_filter.UPPER}', '{url_filter.UPPER.lower()}')"
+# crc32 (reflected polynomial 0xEDB88320) of the decimal id
+_CRC32 = """xor(4294967295, list_reduce(
+    list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda x, y: list_reduce(
+        list_concat([xor(x, y)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, b: xor(c >> 1, 3988292384 * (c & 1)))))"""
 _URL = "coalesce(url, '')"
 _HOST = f"translate(regexp_extract({_URL}, '^.*?://([^/?#]*)', 1, 's'), '{url_filter.UPPER}', '{url_filter.UPPER.lower()}')"
 _PATH = f"regexp_extract({_URL}, '^.*?://[^/?#]*([^?#]*)', 1, 's')"
@@ -223,6 +260,40 @@ ORACLE_SQL: dict[str, str] = {
             CASE WHEN n >= 1000 AND page_id <> last_id THEN 'revisit' ELSE 'response' END AS record_type,
             CASE WHEN n >= 1000 AND page_id <> last_id THEN last_id END AS refers_to
         FROM r""",
+    "op12_periodic_runs": f"""
+        WITH given AS (
+            SELECT row_number() OVER () AS r, doc_id, {_CRC32} AS h,
+                regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w
+            FROM documents),
+        places AS (SELECT *, len(w) AS n, (h // 10) % greatest(len(w), 1) AS a, 3 + (h // 10) % 8 AS m FROM given),
+        docs AS (
+            SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i:
+                w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // m) END]) ELSE w END AS w
+            FROM places),
+        words AS (SELECT r, n, unnest(range(n)) AS i, unnest(w) AS x FROM docs),
+        equal AS (
+            SELECT y.r, y.i, z.i - y.i AS q FROM words AS y JOIN words AS z
+            ON y.r = z.r AND y.x = z.x AND z.i > y.i AND 4 * (z.i - y.i) <= y.n),
+        stretches AS (
+            SELECT r, q, min(i) AS s, count(*) + q AS l
+            FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k FROM equal)
+            GROUP BY r, q, k HAVING count(*) + q >= greatest(6, 4 * q)),
+        runs AS (SELECT r, s, l, min(q) AS q FROM stretches GROUP BY r, s, l),
+        dropped AS (SELECT DISTINCT r, unnest(range(s + q, s + l)) AS i FROM runs),
+        kept AS (
+            SELECT r, string_agg(x, ' ' ORDER BY i) AS t
+            FROM words ANTI JOIN dropped USING (r, i) GROUP BY r),
+        listed AS (
+            SELECT r, count(*) AS n, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS t
+            FROM runs GROUP BY r),
+        pairs AS (
+            SELECT DISTINCT x.r, x.s, x.l, x.q FROM runs AS x
+            ANTI JOIN runs AS y ON x.r = y.r AND (y.l * x.q > x.l * y.q
+                OR y.l * x.q = x.l * y.q AND (y.s < x.s OR y.s = x.s AND y.q < x.q)))
+        SELECT doc_id, coalesce(listed.n, 0) AS n_runs, s AS start, l AS length, q AS period,
+            1000 * l // q AS exponent_milli, sha256(coalesce(listed.t, '')) AS runs_sha256,
+            sha256(coalesce(kept.t, '')) AS collapsed_sha256
+        FROM docs LEFT JOIN listed USING (r) LEFT JOIN kept USING (r) LEFT JOIN pairs USING (r)""",
     "op13_line_dedup": f"""
         WITH lines AS (
             SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS t FROM documents),
