@@ -11,7 +11,8 @@ from pathlib import Path
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import epilens
 from epilens.session import ensure_checkpoint_dir, staging_path
@@ -151,6 +152,33 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+def usable(vector: Column) -> Column:
+    """Whether a vector is there, with finite components only."""
+    x = vector.cast("array<double>")
+    return x.isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
+
+
+def whole_numbers(vector: Column, scale: int) -> Column:
+    """floor(scale * component), as doubles: whole numbers of any size (the
+    SQL floor overflows a long for huge values)."""
+
+    def floor(x):
+        return F.when(F.abs(x) < F.lit(2.0**53), F.floor(x).cast("double")).otherwise(x)
+
+    return F.transform(vector.cast("array<double>"), lambda e: floor(e * F.lit(float(scale))))
+
+
+def inner_products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Integer inner products of the rows of x (of whole numbers) with q, or
+    with each row of q; clipped to +-(2**63 - 1)."""
+    if float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, x.shape[1]) < 2.0**53:
+        return (x @ q.T).astype(np.int64)
+    limit = 2**63 - 1
+    whole = [[sum(int(a) * int(b) for a, b in zip(r, c)) for c in np.atleast_2d(q)] for r in x]
+    out = np.array([[max(-limit, min(limit, s)) for s in r] for r in whole], np.int64)
+    return out.reshape(len(x), *q.shape[:-1])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from epilens.llm import (
     bpe,
     decontaminate,
+    hard_negatives,
     licenses,
     line_dedup,
     minhash,
@@ -122,6 +123,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(docs, ["doc_id"]).select("doc_id", "slot", "shard")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", moved), F.col("id") % 100 == 0, scale=256)
+
+
 def _with_planted_runs(docs: DataFrame) -> DataFrame:
     """Every tenth document by crc32 repeats p of its words from word a on."""
     h = F.crc32(F.col("doc_id").cast("string"))
@@ -170,6 +177,7 @@ QUERIES: dict[str, Query] = {
     "op8_warc": op8_warc,
     "op9_bpe": op9_bpe,
     "op10_sharding": op10_sharding,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_line_dedup": op13_line_dedup,
 }
@@ -260,6 +268,26 @@ ORACLE_SQL: dict[str, str] = {
             CASE WHEN n >= 1000 AND page_id <> last_id THEN 'revisit' ELSE 'response' END AS record_type,
             CASE WHEN n >= 1000 AND page_id <> last_id THEN last_id END AS refers_to
         FROM r""",
+    "op11_hard_negatives": """
+        WITH v AS (
+            SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT a.vec_id AS a, v.vec_id AS i, a.label = v.label AS same,
+                coalesce(list_sum(list_transform(range(1, len(v.e) + 1), lambda j: a.e[j] * v.e[j])), 0)::BIGINT AS score
+            FROM v AS a JOIN v ON a.vec_id % 100 = 0 AND a.vec_id <> v.vec_id AND len(a.e) = len(v.e)),
+        p AS (
+            SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, i) AS r FROM s WHERE same)
+            WHERE r <= 5),
+        n AS (
+            SELECT p.a, p.i AS p, p.score AS ps, s.i, s.score,
+                row_number() OVER (PARTITION BY p.a, p.i ORDER BY s.score DESC, s.i)::INTEGER AS r
+            FROM p JOIN s ON p.a = s.a AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+        SELECT a AS anchor_id, p AS positive_id, r AS rank, i AS negative_id, ps AS positive_score, score AS negative_score
+        FROM n WHERE r <= 5""",
     "op12_periodic_runs": f"""
         WITH given AS (
             SELECT row_number() OVER () AS r, doc_id, {_CRC32} AS h,
