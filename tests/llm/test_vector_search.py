@@ -45,12 +45,34 @@ def test_small_tables(spark, n):
     assert sorted(map(tuple, got.collect())) == brute(rows, 20, 5)
 
 
-def test_bound_holds_and_prunes():
+def test_bound_holds():
     r = np.random.default_rng(2)
     x = np.floor(256 * r.normal(size=(500, 8)))
-    p = x[:1]
-    d = vector_search._distances(x, p)[:, 0]
+    p = x[:3]
+    d = vector_search._distances(x, p)
     for q in x[:40]:
-        qd = float(np.sqrt(((q - p[0]) ** 2).sum()))
-        top = vector_search.bound(float(q @ q), qd, d, d, (x * x).sum(axis=1))
+        qd = vector_search._distances(q[None], p)[0]
+        gap, ball = np.abs(d - qd).max(axis=1), p[0] @ q + np.sqrt(q @ q) * d[:, 0]
+        top = vector_search.bound(float(q @ q), gap, (x * x).sum(axis=1), ball)
         assert (top >= x @ q).all()
+        assert (top <= vector_search.bound(float(q @ q), np.abs(d[:, 0] - qd[0]), (x * x).sum(axis=1), np.inf)).all()
+
+
+def test_clustered_vectors_are_not_all_visited(spark, monkeypatch):
+    monkeypatch.setattr(vector_search, "BLOCK", 100)
+    monkeypatch.setattr(vector_search, "QUERY_CHUNK", 16)
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(40, 16))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    rows = [(i, [float(x) for x in centres[i % 40] + 0.05 * r.normal(size=16)]) for i in range(4000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(map(tuple, vector_search.top_k(df, every=50, k=5).collect())) == brute(rows, 50, 5)
+    seen = vector_search.visits(df, every=50, k=5).collect()
+    assert len(seen) == 80
+    assert sum(x.vectors for x in seen) < 0.34 * 80 * 4000 and all(x.vectors >= 5 for x in seen)
+
+
+def test_chunks_of_neighbouring_homes(monkeypatch):
+    monkeypatch.setattr(vector_search, "QUERY_CHUNK", 10)
+    homes = [{"block": b, "count": n} for b, n in enumerate([4, 5, 3, 25, 2, 10])]
+    assert vector_search._chunks(homes) == [(0, 0, 1), (1, 0, 1), (2, 1, 1), (3, 2, 3), (4, 5, 1), (5, 6, 1)]
