@@ -70,6 +70,24 @@ def column_listing(spark: SparkSession, df: DataFrame) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def column_listing_of_rows(df: DataFrame) -> DataFrame:
+    """The listing with the number of values (not null) that each column holds,
+    from one pass over the rows: (ordinal, column_name, data_type, nullable,
+    n_values). An inferred type says little about a column without values."""
+    counts = df.agg(*[F.count(F.col(f"`{f.name}`")).alias(f"n{i}") for i, f in enumerate(df.schema.fields)])
+    rows = [
+        F.struct(
+            F.lit(i + 1).alias("ordinal"),
+            F.lit(f.name).alias("column_name"),
+            F.lit(f.dataType.simpleString()).alias("data_type"),
+            F.lit(f.nullable).alias("nullable"),
+            F.col(f"n{i}").alias("n_values"),
+        )
+        for i, f in enumerate(df.schema.fields)
+    ]
+    return counts.select(F.inline(F.array(*rows)))
+
+
 def unique_key_check(df: DataFrame, key: str, value_cols: list[str]) -> DataFrame:
     """One row per key, or fail at run time (lazily, inside the job).
 

@@ -16,19 +16,28 @@ bucket is a plain function of the row:
 3. Numbers and lags are taken inside buckets (one shuffle on the bucket). Each
    bucket hands the next one its row count, or its last value: one row per
    bucket, from a partial aggregate.
+
+A derived frame (an aggregate, a join) would be computed once for the
+boundaries, once for the counts and once for the rows. ``global_row_number``
+keeps one copy of it in the shared staging folder, counted as it is written,
+and reads that; the number of buckets follows the count, so a short one needs
+no boundaries.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import col
+from ..session import staging_path
+from ..sources.files import read_parquet
 
 _BUCKET = "_bucket"
+ROWS_PER_RANGE = 1 << 20
 _SPLITTABLE = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
@@ -96,6 +105,14 @@ def _bucketed(df: DataFrame, order: Sequence[str], descending: Sequence[str], nu
     return df.withColumn(_BUCKET, _bucket(order, descending, _boundaries(df, order, descending, n), kinds))
 
 
+def _kept(df: DataFrame) -> tuple[DataFrame, int]:
+    """A written copy of the rows, and how many there are (one job)."""
+    seen = Observation()
+    path = staging_path(df.sparkSession, "ordered")
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return read_parquet(df.sparkSession, path, schema=df.schema), seen.get["n"]
+
+
 def global_row_number(
     df: DataFrame,
     order: Sequence[str],
@@ -104,8 +121,10 @@ def global_row_number(
     descending: Sequence[str] = (),
 ) -> DataFrame:
     """``row_number() over (order by <order>)`` computed bucket by bucket.
-    ``order`` must be unique (add the key as the last element)."""
-    rows = _bucketed(df, order, descending, num_ranges)
+    ``order`` must be unique (add the key as the last element). Without
+    ``num_ranges`` there is one bucket per ``ROWS_PER_RANGE`` rows."""
+    df, n = _kept(df)
+    rows = _bucketed(df, order, descending, num_ranges or -(-n // ROWS_PER_RANGE) or 1)
     counts = rows.groupBy(_BUCKET).agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
     offsets = counts.select(_BUCKET, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))

@@ -152,10 +152,16 @@ def q_schema_columns(spark, d):
 
 
 def q_schema_columns_indicators(spark, d):
-    """Names, types and nullability of both wide indicator tables."""
-    arrivals = contract.column_listing(spark, indicator_wide(spark, d, "arrivals"))
-    expenditure = contract.column_listing(spark, indicator_wide(spark, d, "expenditure"))
-    return arrivals.withColumn("input", F.lit("arrivals")).unionByName(expenditure.withColumn("input", F.lit("expenditure")))
+    """Names, types and nullability of both wide indicator files as read: from
+    the header and by inference over every row (a year without values is read
+    as text), with the number of values in each column."""
+    out = None
+    for name in ("arrivals", "expenditure"):
+        path = write_csv(indicator_wide(spark, d, name), staging_path(spark, f"{name}-csv-schema"))
+        listed = contract.column_listing_of_rows(read_csv(spark, path, header=True, infer_schema=True))
+        listed = listed.withColumn("input", F.lit(name))
+        out = listed if out is None else out.unionByName(listed)
+    return out
 
 
 def q_schema_contract(spark, d):

@@ -206,18 +206,15 @@ def _latest(date: str) -> str:
 
 
 def _listing(name: str) -> str:
-    """Schema listing of a wide table, from the engine's own description of it."""
-    kinds = "CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' ELSE lower(column_type) END"
+    """Columns of a wide table's file: text, or double where a year has values."""
     columns = ["Country Name", "Country Code", "Indicator Name", "Indicator Code", *YEARS]
-    rows = ", ".join(f"({i}, '{c}')" for i, c in enumerate(columns, 1))
-    types = "".join(f", typeof(any_value(\"{c}\")) AS \"{c}\"" for c in columns)
-    body = f"SELECT 1 AS one{types} FROM {name}_wide"
-    unpivot = " UNION ALL ".join(f"SELECT '{c}' AS column_name, \"{c}\" AS column_type FROM k" for c in columns)
+    counts = "".join(f", count(\"{c}\") AS \"{c}\"" for c in columns)
+    unpivot = " UNION ALL ".join(f"SELECT {i} AS ordinal, '{c}' AS column_name, \"{c}\" AS n_values FROM k" for i, c in enumerate(columns, 1))
     return (
-        f"SELECT * FROM (WITH {CASES},{INDICATORS}, k AS ({body}), u AS ({unpivot}) "
-        f"SELECT CAST(o.ordinal AS INTEGER) AS ordinal, column_name, {kinds} AS data_type, "
-        f"column_name NOT IN ('Country Code', 'Indicator Name', 'Indicator Code') AS nullable, '{name}' AS input "
-        f"FROM u JOIN (VALUES {rows}) AS o(ordinal, name) ON o.name = column_name) AS l"
+        f"SELECT * FROM (WITH {CASES},{INDICATORS}, k AS (SELECT 1 AS one{counts} FROM {name}_wide), u AS ({unpivot}) "
+        f"SELECT CAST(ordinal AS INTEGER) AS ordinal, column_name, "
+        f"CASE WHEN ordinal > 4 AND n_values > 0 THEN 'double' ELSE 'string' END AS data_type, "
+        f"true AS nullable, n_values, '{name}' AS input FROM u) AS l"
     )
 
 

@@ -112,3 +112,34 @@ def test_country_join_becomes_broadcast_at_run_time(spark):
     final = df._jdf.queryExecution().executedPlan().toString()
     assert "isFinalPlan=true" in final
     assert re.search(r"BroadcastHashJoin \[iso3#\d+\], \[iso3#\d+\]", final)
+
+
+def test_ranking_derives_its_frame_once(spark):
+    """One job reads the orders; the ranks come from the copy that it wrote,
+    whose rows it counted."""
+    from epilens.operators import ordering
+
+    kept = []
+    original = ordering._kept
+
+    def counted(df):
+        kept.append(original(df))
+        return kept[-1]
+
+    ordering._kept = counted
+    try:
+        df = Q.QUERIES["rank_keys_by_measure"](spark, SF_SMALL)
+    finally:
+        ordering._kept = original
+    text = plan_text(df, "formatted")
+    assert "orders.parquet" not in text and "customer.parquet" not in text and "epilens-staging/ordered" in text
+    assert len(kept) == 1 and kept[0][1] == df.count()
+
+
+def test_indicator_listing_reads_both_files(spark):
+    df = Q.QUERIES["schema_columns_indicators"](spark, SF_SMALL)
+    text = plan_text(df, "formatted")
+    assert "arrivals-csv-schema" in text and "expenditure-csv-schema" in text
+    kinds = {(r["input"], r["column_name"]): (r["data_type"], r["n_values"]) for r in df.collect()}
+    assert kinds["arrivals", "1994"] == ("string", 0) and kinds["expenditure", "Country Code"][0] == "string"
+    assert any(k == "double" and n > 0 for k, n in kinds.values())
