@@ -5,6 +5,13 @@ decoded again as a check).
 Each stage takes (spark, docs, sf_dir), works on everything that the stage
 before it kept, and is written as Parquet and read again. All but the last
 return the columns of ``documents``.
+
+Cases, the same in every stage: a null or empty text is judged like one without
+words and stays (encoded to no tokens); a row without id stays, is compared with
+no other and keeps its passages; rows equal in id and text count once from the
+near-duplicate stage on; an id with several texts has each of them judged for
+itself there; an empty table gives an empty table; columns beyond those of
+``documents`` pass through all stages but the last.
 """
 
 from __future__ import annotations
