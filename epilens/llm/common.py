@@ -1,28 +1,32 @@
 """Helpers shared by the operators: word splitting on bytes, 64-bit word and
-shingle hashes, cutting lineage in the shared folder."""
+shingle hashes, cutting lineage in the shared folder, vectors of whole
+numbers."""
 
 from __future__ import annotations
 
+import ctypes.util
 import gc
 import tempfile
 import time
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import epilens
-from epilens.session import ensure_checkpoint_dir, staging_path
+from epilens.session import staging_path
 
 # ASCII letters lowered, every other ASCII byte that is no digit a separator,
 # bytes of non-ASCII characters kept.
 ALNUM_FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
-_KEEP_WORDS = 200_000
+_KEEP_WORDS = 60_000
 
 
 def to_bytes(text: str | None) -> bytes:
@@ -87,6 +91,21 @@ def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
     return np.unique(shingle_hashes(words, width))
 
 
+def lean(run: Callable) -> Callable:
+    """``run`` of a task's batches, giving memory back at its end: a worker
+    lives on for the next task, and what its allocators keep adds up."""
+
+    def task(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        libc = ctypes.util.find_library("c")
+        if libc and hasattr(ctypes.CDLL(libc), "malloc_trim"):
+            ctypes.CDLL(libc).malloc_trim(0)
+
+    return task
+
+
 def _free_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps whose result is written:
     its cleaner does so once the driver's JVM has collected their handles,
@@ -98,23 +117,23 @@ def _free_shuffles(spark: SparkSession) -> None:
         time.sleep(0.2)
 
 
-def cut(df: DataFrame, wide: bool = False) -> DataFrame:
-    """The rows of ``df``, computed once and kept in the shared checkpoint
-    folder: later jobs read them there, whichever executors are lost. ``wide``:
-    much more was shuffled for them than they are."""
-    ensure_checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
+def cut(df: DataFrame, wide: bool = False, label: str = "step") -> DataFrame:
+    """The rows of ``df``, computed once and written as a table in the shared
+    checkpoint folder: later jobs read them there, whichever executors are
+    lost. (``checkpoint()`` would keep the size that Spark estimated for the
+    plan; in a loop of joins that estimate is squared in every round until it
+    fills the driver's memory. A table has its own size.) ``wide``: much more
+    was shuffled for the rows than they are."""
+    path = staging_path(df.sparkSession, label)
+    df.write.parquet(path)
     if wide:
         _free_shuffles(df.sparkSession)
-    return out
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
-    """As ``cut``, but as a compressed Parquet table: for wide rows."""
-    path = staging_path(df.sparkSession, label)
-    df.write.parquet(path)
-    _free_shuffles(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``cut`` of rows for which much was shuffled."""
+    return cut(df, True, label)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -125,7 +144,7 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-BATCH_ROWS, BATCH_BYTES = 500, "8m"
+BATCH_ROWS, BATCH_BYTES = 500, "4m"
 
 
 def _ship_package(spark: SparkSession) -> None:

@@ -2,7 +2,12 @@
 node's larger neighbours are linked to its smallest one (large star), then its
 smaller neighbours to the smallest (small star), until nothing changes. Every
 step is a minimum per node and an equi-join; nothing but two numbers per round
-reaches the driver. The rounds grow with the logarithm of the longest path."""
+reaches the driver. The rounds grow with the logarithm of the longest path.
+
+A node may have a large part of all edges. Its minimum is taken in two steps
+(a partial one in each task). Its edges are dealt over ``PARTS`` sub-nodes that
+each get the minimum; both sides of that join are plain exchanges, so Spark
+splits a sub-node that is still too large over more tasks."""
 
 from __future__ import annotations
 
@@ -11,17 +16,28 @@ from pyspark.sql import functions as F
 
 from epilens.llm.common import cut
 
+PARTS = 4
+
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """edges (u, v) with m of least (u, m), by sub-nodes of u."""
+    part = F.pmod(F.xxhash64("v"), F.lit(PARTS)).cast("int")
+    each = least.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return edges.withColumn("part", part).join(each, ["u", "part"]).where("v <> m")
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
+    """edges: u > v. Larger neighbours of a node to the smallest of it and its
+    neighbours."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-    return both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_least(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    """edges: u > v."""
+    """edges: u > v. Smaller neighbours of a node, and itself, to the smallest
+    of them."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    linked = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    linked = _with_least(edges, least).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return linked.union(least.select("u", F.col("m").alias("v")))
 
 

@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from epilens.llm.common import fresh, prepare, stage, to_bytes
+from epilens.llm.common import fresh, lean, prepare, stage, to_bytes
 
 MIN_DOCS, MIN_CHARS = 10, 1
 PER_SHARD, LEAST_SHARDS = 1 << 16, 16
@@ -192,7 +192,7 @@ def _keys(docs: DataFrame, name: str, text: str, min_chars: int, sent=None, shar
                 )
 
     return docs.select(F.col(f"`{name}`").cast("long").alias(name), F.col(f"`{text}`").alias("_text")).mapInArrow(
-        run, f"`{name}` long, key binary"
+        lean(run), f"`{name}` long, key binary"
     )
 
 

@@ -37,10 +37,10 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from epilens.llm.common import WordHash, cut, fresh, mix64, prepare, shingle_set, space_words, stage
+from epilens.llm.common import cut, fresh, lean, mix64, prepare, shingle_set, space_words, stage, WordHash
 from epilens.llm.components import connected_components
 
 BINS, BAND_ROWS = 128, 6  # 21 bands: at similarity 0.85 a pair shares none with probability 5e-5
@@ -48,7 +48,7 @@ CENTRES = 3  # per document and turn
 PAIRED = 32  # members of a bucket that is compared pair by pair
 BLOCK, BLOCK_SHINGLES = 256, 1 << 18  # of a larger one, on average
 _SHIFT = np.uint64(64 - BINS.bit_length() + 1)
-_SIGNATURE = "doc_id long, n_shingles long, set_id binary, bands array<long>"
+_SIGNATURE = "doc_id long, n_shingles long, set_id binary, bands array<long>, row long"
 
 
 def _probes(attempt: int) -> np.ndarray:
@@ -101,12 +101,17 @@ def signatures(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame
             offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else [], pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), lists],
-                names=["doc_id", "n_shingles", "set_id", "bands"],
+                [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), lists, b.column(2)],
+                names=["doc_id", "n_shingles", "set_id", "bands", "row"],
             )
 
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(run, _SIGNATURE)
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), _row(doc_id, text).alias("row"))
+    return rows.mapInArrow(lean(run), _SIGNATURE)
+
+
+def _row(doc_id: str, text: str) -> Column:
+    """A row is known by its id and text; an id may come with several texts."""
+    return F.xxhash64(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`"))
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -129,7 +134,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     member = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     centre = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     rows = pairs.select("a", "b").join(member, "b").join(centre, "a").select("a", "b", "ta", "tb")
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -140,7 +145,54 @@ def near_duplicates(
     percent: int = 80,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per document row."""
+    sig, classes, links = _linked(docs, doc_id, text, width, percent)
+    # an id that stands in several classes ties them together
+    named = sig.join(classes, F.expr(_OWN_CLASS)).select("doc_id", "rep").where("doc_id IS NOT NULL").distinct()
+    several = named.groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y")
+    ties = named.join(several.select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    of_class = _of_class(classes, links.union(cut(ties)))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return sig.drop("bands", "row").join(of_class, F.expr(_OWN_CLASS), "left").select(
+        "doc_id",
+        "n_shingles",
+        component.alias("component_id"),
+        F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"),
+    )
+
+
+_OWN_CLASS = "set_id = class_id"
+
+
+def _of_class(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(class_id, component_id): the smallest representative that is reached."""
+    found = connected_components(links, "a", "b")
+    return classes.join(found, F.col("rep") == F.col("node"), "left").select(
+        "class_id", F.coalesce("component", "rep").alias("component_id")
+    )
+
+
+def _parted(sig: DataFrame) -> DataFrame:
+    """``sig`` with a negative number in place of every id that comes with
+    several sets, one for each; ``own_id`` keeps the id."""
+    sets = sig.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("of"))
+    several = cut(sets.agg(F.min("set_id").alias("x"), F.max("set_id").alias("y")).where("x <> y").select("of"))
+    named = sig.withColumn("own_id", F.col("doc_id"))
+    if several.isEmpty():
+        return named
+    number = -F.pmod(F.xxhash64("own_id", "set_id"), F.lit(1 << 62)) - 1
+    joined = named.drop("doc_id").join(several, F.col("own_id") == F.col("of"), "left")
+    return stage(joined.withColumn("doc_id", F.when(F.col("of").isNotNull(), number).otherwise(F.col("own_id"))).drop("of"), "minhash-parted")
+
+
+def _linked(
+    docs: DataFrame, doc_id: str, text: str, width: int, percent: int, by_text: bool = False
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(signatures, classes of equal sets, links between the classes'
+    representatives). ``by_text``: the texts of an id are documents of their
+    own."""
     sig = stage(signatures(docs, doc_id, text, width), "minhash-signatures")
+    if by_text:
+        sig = _parted(sig)
     classes = sig.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
     # kept, so that the joins on set_id have plain exchanges, whose hot groups Spark splits
     classes = cut(classes.select(F.col("set_id").alias("class_id"), "rep"))
@@ -153,8 +205,9 @@ def near_duplicates(
     members = places.groupBy("doc").agg(F.sum("size").alias("weight"), F.collect_list("low").alias("lows"))
     members = cut(members.join(first.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n")).distinct(), "doc"))
 
-    own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    texts = stage(own.join(members.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi"), "minhash-texts")
+    own = docs.select(_row(doc_id, text).alias("row"), F.col(f"`{text}`").alias("text"))
+    shown = first.join(members, F.col("doc_id") == F.col("doc"), "left_semi").select("doc_id", "row").distinct()
+    texts = stage(own.join(shown, "row").select("doc_id", "text"), "minhash-texts")
 
     pairs = cut(_most_shared(members.select("doc", F.array_remove("lows", F.col("doc")).alias("centres"))))
     links = cut(confirm(pairs, texts, width, percent), wide=True)
@@ -178,26 +231,7 @@ def near_duplicates(
     blocks = rest.where(F.col("members") > PAIRED)
     if not blocks.isEmpty():
         new = new.union(cut(_block_links(blocks, texts, width, percent), wide=True))
-    if not new.isEmpty():
-        links = links.union(new)
-        found = connected_components(links, "a", "b")
-
-    # an id that stands in several classes ties them together
-    named = sig.join(classes, own_class).select("doc_id", "rep").where("doc_id IS NOT NULL").distinct()
-    several = named.groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y")
-    ties = cut(named.join(several.select("doc_id"), "doc_id", "left_semi"))
-    if not ties.isEmpty():  # else the last turn, which added no link, has them
-        found = connected_components(links.union(ties.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))), "a", "b")
-    of_class = classes.join(found, F.col("rep") == F.col("node"), "left").select(
-        "class_id", F.coalesce("component", "rep").alias("component_id")
-    )
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return sig.drop("bands").join(of_class, own_class, "left").select(
-        "doc_id",
-        "n_shingles",
-        component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"),
-    )
+    return sig, classes, links.union(new)
 
 
 def _most_shared(rows: DataFrame) -> DataFrame:
@@ -312,7 +346,7 @@ def _block_links(rest: DataFrame, texts: DataFrame, width: int, percent: int) ->
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["id", "shingles"])
 
     wanted = texts.join(rest.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    wanted = wanted.select("doc_id", "text").mapInArrow(sets, "id long, shingles binary")
+    wanted = wanted.select("doc_id", "text").mapInArrow(lean(sets), "id long, shingles binary")
     # a representative that stands with several texts has a set of each
     rows = meetings.join(wanted, F.col("doc") == F.col("id")).drop("id")
 
@@ -339,7 +373,7 @@ def _block_links(rest: DataFrame, texts: DataFrame, width: int, percent: int) ->
     n = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("h"), F.col("i"), F.col("j"), F.col("with_inside"), F.col("held").desc(), F.col("doc")]
     dealt = rows.repartition(n, "h", "i", "j", "with_inside").sortWithinPartitions(*order)
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def _own_links(at, block: _Block | None) -> list[tuple[int, int]]:
@@ -404,10 +438,17 @@ class _Block:
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: the one with
-    the smallest id. Rows without id all stay."""
-    found = near_duplicates(docs, doc_id, text, width, percent)
-    key = F.col(f"`{doc_id}`")
-    own = fresh(docs, "_kept_id")
-    ids = found.where("kept").select(F.col("doc_id").alias(own)).distinct()
-    kept = docs.join(ids, key == F.col(own), "left_semi").dropDuplicates([doc_id])
-    return kept.unionByName(docs.where(key.isNull()))
+    the smallest id, of its texts in the group the one with most shingles. Each
+    text of an id that comes with several is judged for itself; rows equal in
+    id and text count once; texts without words, and rows without id, stay."""
+    sig, classes, links = _linked(docs, doc_id, text, width, percent, by_text=True)
+    of_class = cut(_of_class(classes, links))
+    rows = sig.where("doc_id IS NOT NULL").join(of_class, F.expr(_OWN_CLASS), "left")
+    best = rows.where("component_id IS NOT NULL").groupBy("component_id").agg(
+        F.min(F.struct("own_id", (-F.col("n_shingles")).alias("shorter"), "row")).alias("first")
+    )
+    own = fresh(docs, "_row")
+    ids = best.select(F.col("first.row").alias(own)).union(rows.where("component_id IS NULL").select(F.col("row").alias(own)))
+    named = docs.withColumn(own, _row(doc_id, text)).where(F.col(f"`{doc_id}`").isNotNull())
+    kept = named.join(ids.distinct(), own, "left_semi").dropDuplicates([own]).drop(own)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where(F.col(f"`{doc_id}`").isNull()))

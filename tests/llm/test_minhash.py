@@ -103,7 +103,17 @@ def test_repeated_rows_null_ids_and_clashing_columns(spark):
     )
     kept = minhash.keep_one(df)
     assert kept.columns == df.columns
-    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(1, t), (None, t), (None, None)], key=repr)
+    # the second text of id 3 resembles nothing, so it stays though its other text goes
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(1, t), (3, text(80, 6)), (None, t), (None, None)], key=repr)
+
+
+def test_ids_with_several_texts(spark):
+    a, b, c = text(80, 1), text(80, 2), text(80, 3)
+    more = f"{a} one more"
+    rows = [(5, a), (5, b), (2, b), (2, more), (2, a), (7, c), (7, c), (8, ""), (8, None), (9, ""), (9, "")]
+    kept = minhash.keep_one(docs(spark, rows)).collect()
+    # of group {a, more} id 2 with its longer text; of group {b} id 2
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(2, more), (2, b), (7, c), (8, ""), (8, None), (9, "")], key=repr)
 
 
 def test_empty_table(spark):
