@@ -3,10 +3,16 @@
 A word's vector is the sum of hashed embeddings of the word, its first four
 and six bytes and its last four bytes. Filters of widths 1, 2 and 3 run over
 the word vectors, the maximum of each filter over the whole text feeds a
-logistic layer. Training takes a bounded sample of labelled rows
-(``positives`` + ``negatives``, texts of at most ``train_chars`` characters;
-smallest hashes first); a fifth of it is left out to scale the scores and to
-calibrate a threshold for each language. Every text is scored whole.
+logistic layer. The weights are trained on a bounded sample of labelled rows
+(``positives`` + ``negatives`` of those with at most ``train_chars`` characters;
+smallest hashes first), of which a fifth is left out.
+
+Scores are scaled, and thresholds set, on all labelled rows that aren't held
+out, whole texts: Spark scores them and counts them by language, label and score
+bin (``BIN``); only those counts reach the driver (languages x ``BINS`` x 4 at
+most). The scale takes the rows that the weights have not seen. Every language
+with ``MIN_PER_LANGUAGE`` rows of either label gets the threshold of best F1
+among its rows, the others that of all rows. Every text is scored whole.
 
 Scoring never multiplies per position: a filter is a sum over its offsets, so
 the product of a word's vector and each offset's weights is computed once per
@@ -28,17 +34,18 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epilens.llm.common import alnum_words, prepare
+from epilens.llm.common import alnum_words, lean, prepare
 
 POSITIVES, NEGATIVES, TRAIN_CHARS = 2000, 5000, 20_000
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 8, 8, (1, 2, 3)
 _PARTS = 4
 _PAD = max(WIDTHS) - 1
-_KEEP_WORDS = 150_000
+_KEEP_WORDS = 100_000
 MIN_PER_LANGUAGE = 5  # positives and negatives for a threshold of its own
+BIN, BINS = 0.02, 1500  # of logits, around 0
 LOWEST, HIGHEST = 0.3, 0.9  # bounds of a threshold: few rows may place a cut anywhere
 
 
@@ -136,7 +143,7 @@ class Scorer:
         return np.concatenate(out).astype(np.float64) if out else np.empty(0)
 
 
-def _pieces(numbers: list[np.ndarray], words: int = 1 << 17):
+def _pieces(numbers: list[np.ndarray], words: int = 1 << 15):
     """Texts together, up to about ``words`` words; a longer one alone."""
     group, size = [], 0
     for x in numbers:
@@ -149,8 +156,8 @@ def _pieces(numbers: list[np.ndarray], words: int = 1 << 17):
         yield group
 
 
-def fit(texts: list[str], labels: list[int], langs: list[str | None], epochs: int = 8, seed: int = 7) -> Model:
-    """Train on four fifths, scale and calibrate on the rest."""
+def fit(texts: list[str], labels: list[int], left_out: list[bool], epochs: int = 8, seed: int = 7) -> Model:
+    """Train on the rows that aren't left out."""
     rng = np.random.default_rng(seed)
     model = Model(
         rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32),
@@ -172,20 +179,27 @@ def fit(texts: list[str], labels: list[int], langs: list[str | None], epochs: in
     parts = np.zeros((len(words) + 1, _PARTS), np.int64)
     if words.new:
         parts[1:] = [_buckets(w) for w in words.new]
-    left_out = np.arange(len(y)) % 5 == 4
-    if min(y[left_out].sum(), (1 - y[left_out]).sum()) < MIN_PER_LANGUAGE:
-        left_out[:] = False  # too few to part: scale on all of them
-    train = np.flatnonzero(~left_out & np.array([len(d) > 0 for d in docs]))
+    train = np.flatnonzero(~np.array(left_out, bool) & np.array([len(d) > 0 for d in docs]))
     _train(model, docs, parts, y, train, epochs, rng)
-    held = np.flatnonzero(left_out) if left_out.any() else np.arange(len(y))
-    logit = Scorer(model).logits([texts[i] for i in held])
-    model.scale = _platt(logit, y[held])
+    return model
+
+
+def calibrate(model: Model, counts: list[tuple[str | None, int, int, bool, int]]) -> Model:
+    """Scale and thresholds from counts of labelled rows: (language, bin,
+    label, whether the weights have seen it, rows)."""
+    lang = np.array([c[0] for c in counts], object)
+    logit = (np.array([c[1] for c in counts], float) + 0.5) * BIN
+    y, seen, n = (np.array([c[k] for c in counts], float) for k in (2, 3, 4))
+    new = seen == 0
+    if min((n * y)[new].sum(), (n * (1 - y))[new].sum()) < MIN_PER_LANGUAGE:
+        new[:] = True
+    model.scale = _platt(logit[new], y[new], n[new])
     p = model.probability(logit)
-    model.threshold = _best_cut(p, y[held])
-    for lang in {x for x in (langs[i] for i in held) if x is not None}:
-        own = np.array([langs[i] == lang for i in held])
-        if min(y[held][own].sum(), (1 - y[held][own]).sum()) >= MIN_PER_LANGUAGE:
-            model.thresholds[lang] = _best_cut(p[own], y[held][own])
+    model.threshold = _best_cut(p, y, n)
+    for own_lang in {x for x in lang if x is not None}:
+        own = lang == own_lang
+        if min((n * y)[own].sum(), (n * (1 - y))[own].sum()) >= MIN_PER_LANGUAGE:
+            model.thresholds[own_lang] = _best_cut(p[own], y[own], n[own])
     return model
 
 
@@ -251,15 +265,16 @@ def _train(model: Model, docs, parts, y, train, epochs: int, rng, batch: int = 3
             model.intercept -= rate * g_c / np.sqrt(seen_c)
 
 
-def _platt(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic fit with smoothed targets (Newton)."""
-    n1, n0 = y.sum(), len(y) - y.sum()
+def _platt(logit: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of a logistic fit with smoothed targets (Newton). n:
+    rows that each entry counts for."""
+    n1, n0 = (n * y).sum(), (n * (1 - y)).sum()
     target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     a, b = 1.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * logit + b, -40, 40)))
-        w = p * (1 - p) + 1e-9
-        r = p - target
+        w = n * (p * (1 - p) + 1e-9)
+        r = n * (p - target)
         h = np.array([[(w * logit * logit).sum() + 1e-6, (w * logit).sum()], [(w * logit).sum(), w.sum() + 1e-6]])
         da, db = np.linalg.solve(h, [(r * logit).sum(), r.sum()])
         size = max(abs(da), abs(db))
@@ -269,13 +284,12 @@ def _platt(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (float(a), float(b)) if a > 0 else (1.0, 0.0)
 
 
-def _best_cut(p: np.ndarray, y: np.ndarray) -> float:
+def _best_cut(p: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
     """The cut with the best F1, halfway between neighbouring scores; ties go
-    to the cut nearest 0.5."""
+    to the cut nearest 0.5. n: rows that each entry counts for."""
     order = np.argsort(-p, kind="stable")
-    s, hits = p[order], np.cumsum(y[order])
-    n = np.arange(1, len(s) + 1)
-    f1 = 2 * hits / (n + y.sum())
+    s, hits = p[order], np.cumsum((n * y)[order])
+    f1 = 2 * hits / (np.cumsum(n[order]) + (n * y).sum())
     after = np.append(s[1:], 0.0)
     cut = (s + after) / 2
     f1[s == after] = -1  # a cut cannot part equal scores
@@ -299,50 +313,77 @@ def train(
     negatives: int = NEGATIVES,
     train_chars: int = TRAIN_CHARS,
 ) -> Model:
-    """Fit on a bounded sample of the labelled rows that aren't held out. The
-    label rows are sampled first, so that they can be broadcast and no text is
-    shuffled."""
+    """Fit on a bounded sample of the labelled rows that aren't held out, then
+    calibrate on all of them. The sample's label rows are drawn first, so that
+    they can be broadcast and no text is shuffled for them."""
+    spark = docs.sparkSession
+    prepare(spark)
     own = labels.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{label}`").cast("int").alias("_y"))
-    own = own.where(F.col("_id").isNotNull() & (remainder(F.col("_id")) != 0)).distinct()
+    own = own.where(F.col("_id").isNotNull() & (remainder(F.col("_id")) != 0) & F.col("_y").isin(0, 1)).distinct()
     own = own.withColumn("_h", F.xxhash64("_id", "_y"))
+    texts = docs.select(
+        F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text"), F.col(f"`{lang}`").alias("_lang")
+    )
+    short = F.length("_text") <= train_chars
+    usable = own.join(texts.where(short).select("_id").distinct(), "_id", "left_semi")
     sample = None
     for y, n in ((1, positives), (0, negatives)):
-        part = own.where(F.col("_y") == y).orderBy("_h").limit(n)
+        part = usable.where(F.col("_y") == y).orderBy("_h").limit(n)
         sample = part if sample is None else sample.unionByName(part)
-    texts = docs.select(
-        F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text"), F.col(f"`{lang}`").alias("_lang")
-    ).where(F.length("_text") <= train_chars)
     rows = (
-        texts.join(F.broadcast(sample), "_id")
+        texts.where(short)
+        .join(F.broadcast(sample), "_id")
         .orderBy("_h", F.xxhash64("_text"), "_lang")
         .limit(positives + negatives)
-        .select("_text", "_y", "_lang")
+        .select("_text", "_y", "_id")
         .collect()
     )
-    return fit([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows])
+    y, left_out = np.array([r[1] for r in rows], int), np.arange(len(rows)) % 5 == 4
+    if min((y[left_out] == 1).sum(), (y[left_out] == 0).sum()) < MIN_PER_LANGUAGE:
+        left_out[:] = False  # too few to part
+    model = fit([r[0] for r in rows], y.tolist(), left_out.tolist())
+    if not 0 < y.sum() < len(y):
+        return model
+    trained = sorted({(r[2], r[1]) for r, out in zip(rows, left_out) if not out})  # of the sample
+    trained = spark.createDataFrame(trained, own.select("_id", "_y").schema).withColumn("_seen", F.lit(True))
+    logit = _logits(spark, model)(F.col("_text"))
+    place = F.greatest(F.lit(-BINS // 2), F.least(F.lit(BINS // 2 - 1), F.floor(logit / BIN)))
+    marked = texts.join(own, "_id").join(F.broadcast(trained), ["_id", "_y"], "left")
+    marked = marked.select("_lang", place.cast("int").alias("_bin"), "_y", (F.col("_seen").isNotNull() & short).alias("_seen"))
+    return calibrate(model, [tuple(r) for r in marked.groupBy("_lang", "_bin", "_y", "_seen").count().collect()])
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang") -> DataFrame:
-    """``docs`` with ``score`` (from the text alone), the language's
-    ``threshold`` and ``rejected``."""
-    prepare(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def _logits(spark: SparkSession, model: Model):
+    """A function of a text column: the model's logit before it is scaled."""
+    sent = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = Scorer(sent.value)
-        for s in texts:
-            own = s.tolist()
-            p = [sent.value.probability(scorer.logits([x if isinstance(x, str) else None for x in own[a : a + 256]])) for a in range(0, len(own), 256)]
-            yield pd.Series(np.concatenate(p) if p else np.empty(0))
+        def run(texts):
+            scorer = Scorer(sent.value)
+            for s in texts:
+                own = [x if isinstance(x, str) else None for x in s.tolist()]
+                yield pd.Series(np.concatenate([scorer.logits(own[a : a + 256]) for a in range(0, len(own), 256)] or [np.empty(0)]))
+
+        yield from lean(run)(texts)
+
+    return of
 
+
+def score(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang") -> DataFrame:
+    """``docs`` with ``score`` (from the text alone), the language's
+    ``threshold`` and ``rejected``."""
+    prepare(docs.sparkSession)
+    slope, shift = model.scale
+    logit = F.lit(slope) * _logits(docs.sparkSession, model)(F.col(f"`{text}`")) + F.lit(shift)
+    p = 1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), logit))))
     cut = F.lit(model.threshold)
     for name, value in sorted(model.thresholds.items()):
         cut = F.when(F.col(f"`{lang}`") == name, F.lit(value)).otherwise(cut)
     keep = [c for c in docs.columns if c.lower() not in ("score", "threshold", "rejected")]
     return (
         docs.select(*[F.col(f"`{c}`") for c in keep])
-        .withColumn("score", of(F.col(f"`{text}`")))
+        .withColumn("score", p)
         .withColumn("threshold", cut)
         .withColumn("rejected", F.col("score") >= F.col("threshold"))
     )

@@ -90,5 +90,37 @@ def test_few_or_odd_labels(spark, labels):
 
 def test_best_cut():
     p, y = np.array([0.9, 0.8, 0.3, 0.2, 0.2]), np.array([1, 1, 0, 0, 0])
-    assert T._best_cut(p, y) == pytest.approx(0.55)
-    assert T._best_cut(np.array([0.4, 0.4]), np.array([1, 0])) == T.LOWEST
+    assert T._best_cut(p, y, np.ones(5)) == pytest.approx(0.55)
+    assert T._best_cut(np.array([0.4, 0.4]), np.array([1, 0]), np.ones(2)) == T.LOWEST
+    # entries that count for several rows
+    assert T._best_cut(np.array([0.9, 0.8, 0.4]), np.array([1, 0, 1]), np.array([1, 3, 30])) == T.LOWEST
+    assert T._best_cut(np.array([0.9, 0.8, 0.4]), np.array([1, 0, 1]), np.array([9, 30, 1])) == pytest.approx(0.85)
+
+
+def test_every_language_with_labels_of_both_kinds_has_its_threshold(spark):
+    """Also one whose few rows lie outside the sample, or are too long for it."""
+    rows, labels = corpus()
+    long = " ".join(words(8000, 1))
+    for k in range(10):
+        rows.append((2000 + k, (long if k < 4 else "w1 w2 ") + (" scumbag moronic" if k % 2 else ""), "es", "s", 1))
+        labels.append((2000 + k, 1, k % 2))
+    ids = [i for i, _, lang, *_ in rows if lang == "es" and zlib.crc32(str(i).encode()) % 5]
+    few = min(sum(i % 2 for i in ids), sum(1 - i % 2 for i in ids))
+    docs, marks = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = T.train(docs, marks, positives=80, negatives=200)
+    assert ("es" in model.thresholds) == (few >= T.MIN_PER_LANGUAGE) and {"en", "de"} <= set(model.thresholds)
+    monkey = T.MIN_PER_LANGUAGE
+    try:
+        T.MIN_PER_LANGUAGE = 3
+        assert set(T.train(docs, marks, positives=80, negatives=200).thresholds) == {"en", "de", "es"}
+    finally:
+        T.MIN_PER_LANGUAGE = monkey
+
+
+def test_long_texts_leave_their_place_in_the_sample(spark, monkeypatch):
+    rows, labels = corpus(300)
+    kept = []
+    monkeypatch.setattr(T, "fit", lambda texts, y, left_out: kept.append((texts, y)) or T.Model(np.zeros((T.BUCKETS, T.DIM), np.float32), [np.zeros((w * T.DIM, T.FILTERS), np.float32) for w in T.WIDTHS], np.zeros(24, np.float32), np.zeros(24, np.float32), 0.0))
+    T.train(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), positives=12, negatives=20, train_chars=300)
+    texts, y = kept[0]
+    assert sum(y) == 12 and len(y) == 32 and max(map(len, texts)) <= 300
