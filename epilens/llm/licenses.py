@@ -9,11 +9,18 @@ at least ``coverage`` and the matched words span at most ``1 / DENSITY`` times
 the template (plus ``SLACK`` words). Words that tell licences apart (``KEYS``
 and the template's version numbers) must all be matched, and none of them may
 stand unmatched within the notice; templates of at most ``WHOLE`` words must
-be matched in a row.
-
-Only windows that hold enough words of the template, each as often as the
+be matched in a row. A notice of at most ``SHORT`` words that is denied (a word
+of ``DENIALS`` in it or just before it) does not count, nor does a line that
+reserves all rights at most ``LEAD`` words before the licence that it heads.
+
+An index of template words picks the templates that a text can hold: one of a
+template's distinguishing words must stand in the text, or, without such words,
+one of as many of its rarest words as may be missing and one more. Of those,
+only windows that hold enough words of the template, each as often as the
 template has it at most, can reach the coverage; they are found by running
-counts over the whole text, so that clean text is never aligned. Each document is handled within its row: nothing is shuffled.
+counts over the whole text, so that clean text is never aligned, and templates
+that no word points to cost nothing. Each document is handled within its row:
+nothing is shuffled.
 
 Cases: null, empty and wordless texts have no notice; several notices, also
 adjacent copies of one, are reported each; a template without words raises
@@ -37,9 +44,32 @@ from epilens.llm.common import alnum_words, prepare
 
 COVERAGE, DENSITY, SLACK = 0.8, 0.67, 4
 WHOLE = 4
-_BY = "This work is licensed under a Creative Commons Attribution"
+_BY = "This work is licensed under a Creative Commons"
 KEYS = set(
-    b"mit bsd isc apache mozilla gnu lesser library affero nc sa nd noncommercial sharealike noderivatives noderivs".split()
+    b"mit bsd isc apache mozilla gnu lesser affero nc sa nd noncommercial sharealike noderivatives noderivs "
+    b"gpl lgpl agpl mpl 0bsd cc0 unlicense spdx".split()
+)
+SHORT, LEAD = 30, 12
+DENIALS = set(b"not never cannot isn aren wasn nor".split())
+# The parts of a Creative Commons licence and its versions.
+_CC_PARTS = {
+    "BY": ("Attribution", "permissive"),
+    "BY-SA": ("Attribution-ShareAlike", "copyleft"),
+    "BY-ND": ("Attribution-NoDerivatives", "noderivatives"),
+    "BY-NC": ("Attribution-NonCommercial", "noncommercial"),
+    "BY-NC-SA": ("Attribution-NonCommercial-ShareAlike", "noncommercial"),
+    "BY-NC-ND": ("Attribution-NonCommercial-NoDerivatives", "noncommercial"),
+}
+_CC_VERSIONS = {"2.0": "Generic", "2.5": "Generic", "3.0": "Unported", "4.0": "International"}
+_FREE = "you can redistribute it and/or modify it under the terms of the GNU"
+_FSF = "as published by the Free Software Foundation, either version"
+_LATER = "of the License, or (at your option) any later version."
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list "
+    "of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright "
+    "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided "
+    "with the distribution."
 )
 _VERSIONED = (b"version", b"v", b"attribution", b"international", b"by", b"nc", b"sa", b"nd", *KEYS)
 
@@ -61,37 +91,50 @@ TEMPLATES: list[tuple[str, str, str]] = [
      "to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above "
      "copyright notice and this permission notice shall be included in all copies or substantial portions of the "
      "Software."),
-    ("BSD-2-Clause", "permissive",
-     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
-     "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list "
-     "of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright "
-     "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided "
-     "with the distribution."),
+    ("BSD-2-Clause", "permissive", _BSD),
+    ("BSD-3-Clause", "permissive",
+     _BSD + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+     "promote products derived from this software without specific prior written permission."),
     ("ISC", "permissive",
      "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
      "granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("GPL-3.0", "copyleft", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "copyleft",
-     "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
-     "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
-     "later version."),
+     f"This program is free software: {_FREE} General Public License {_FSF} 3 {_LATER}"),
+    ("GPL-2.0", "copyleft", f"This program is free software; {_FREE} General Public License {_FSF} 2 {_LATER}"),
+    ("LGPL-2.1", "copyleft", f"This library is free software; {_FREE} Lesser General Public License {_FSF} 2.1 {_LATER}"),
+    ("LGPL-3.0", "copyleft", f"This library is free software: {_FREE} Lesser General Public License {_FSF} 3 {_LATER}"),
+    ("AGPL-3.0", "copyleft", f"This program is free software: {_FREE} Affero General Public License {_FSF} 3 {_LATER}"),
+    ("GPL-3.0", "copyleft",
+     "GNU General Public License Version 3, 29 June 2007. Everyone is permitted to copy and distribute verbatim copies of "
+     "this license document, but changing it is not allowed."),
+    ("GPL-2.0", "copyleft",
+     "GNU General Public License Version 2, June 1991. Everyone is permitted to copy and distribute verbatim copies of "
+     "this license document, but changing it is not allowed."),
+    ("Apache-2.0", "permissive",
+     "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ Terms and conditions for use, reproduction, "
+     "and distribution 1. Definitions. \"License\" shall mean the terms and conditions for use, reproduction, and "
+     "distribution as defined by Sections 1 through 9 of this document."),
+    ("0BSD", "permissive",
+     "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+     "granted."),
+    ("Unlicense", "public-domain",
+     "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, "
+     "use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
+     "purpose, commercial or non-commercial, and by any means."),
+    ("CC0-1.0", "public-domain",
+     "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this "
+     "work."),
+    ("CC0-1.0", "public-domain",
+     "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his "
+     "or her rights to the work worldwide under copyright law, including all related and neighboring rights, to the "
+     "extent allowed by law."),
+    ("CC0-1.0", "public-domain", "Creative Commons CC0 1.0 Universal"),
     ("MPL-2.0", "copyleft",
      "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
      "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
-    ("CC-BY-4.0", "permissive", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-NC-4.0", "noncommercial", "Licensed under CC BY-NC 4.0."),
     ("All-Rights-Reserved", "proprietary", "Copyright. All rights reserved. No part may be reproduced without permission."),
     ("All-Rights-Reserved", "proprietary", "All rights reserved."),
-    ("CC-BY-4.0", "permissive", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "copyleft", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-ND-4.0", "noderivatives", "Licensed under CC BY-ND 4.0."),
-    ("CC-BY-NC-SA-4.0", "noncommercial", "Licensed under CC BY-NC-SA 4.0."),
-    ("CC-BY-NC-ND-4.0", "noncommercial", "Licensed under CC BY-NC-ND 4.0."),
-    ("CC-BY-SA-4.0", "copyleft", f"{_BY}-ShareAlike 4.0 International License."),
-    ("CC-BY-ND-4.0", "noderivatives", f"{_BY}-NoDerivatives 4.0 International License."),
-    ("CC-BY-NC-4.0", "noncommercial", f"{_BY}-NonCommercial 4.0 International License."),
-    ("CC-BY-NC-SA-4.0", "noncommercial", f"{_BY}-NonCommercial-ShareAlike 4.0 International License."),
-    ("CC-BY-NC-ND-4.0", "noncommercial", f"{_BY}-NonCommercial-NoDerivatives 4.0 International License."),
     ("BSD-2-Clause", "permissive", "Licensed under the BSD 2-Clause License."),
     ("BSD-3-Clause", "permissive", "Licensed under the BSD 3-Clause License."),
     ("ISC", "permissive", "Licensed under the ISC License."),
@@ -99,6 +142,17 @@ TEMPLATES: list[tuple[str, str, str]] = [
     ("LGPL-3.0", "copyleft", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "copyleft", "This work is licensed under the GNU Affero General Public License, version 3."),
 ]
+for _parts, (_words, _kind) in _CC_PARTS.items():
+    for _version, _port in _CC_VERSIONS.items():
+        TEMPLATES += [
+            (f"CC-{_parts}-{_version}", _kind, f"{_BY} {_words} {_version} {_port} License."),
+            (f"CC-{_parts}-{_version}", _kind, f"Licensed under CC {_parts} {_version}."),
+        ]
+# the tag of every licence named above
+TEMPLATES += [
+    (name, kind, f"SPDX-License-Identifier: {name}")
+    for name, kind in {n: k for n, k, _ in TEMPLATES if k != "proprietary"}.items()
+]
 
 
 def _increasing(values: list[int]) -> list[int]:
@@ -178,6 +232,14 @@ class Scanner:
         self.numbers = {w: i for i, w in enumerate(dict.fromkeys(w for t in self.words for w in t))}
         self.bags = [sorted(Counter(self.numbers[w] for w in t).items()) for t in self.words]
         self.keys = [{j for j, w in enumerate(t) if w in KEYS or self._version(t, j)} for t in self.words]
+        spread = Counter(w for t in self.words for w in set(t))
+        self.pointers: list[list[int]] = [[] for _ in self.numbers]  # word number -> templates that it points to
+        for k, t in enumerate(self.words):
+            rare = sorted(range(len(t)), key=lambda j: (spread[t[j]], -len(t[j]), j))
+            needed = [j for j in rare if j in self.keys[k] and not t[j].isdigit()]
+            for w in {t[j] for j in needed[:1] or rare[: len(t) - self.need(k) + 1]}:
+                self.pointers[self.numbers[w]].append(k)
+        self.reserving = {k for k, (_, kind, _) in enumerate(templates) if kind == "proprietary"}
         self.member = np.zeros((len(self.words), len(self.numbers) + 1), bool)  # the last: any other word
         for k, t in enumerate(self.words):
             self.member[k, [self.numbers[w] for w in t]] = True
@@ -193,6 +255,8 @@ class Scanner:
 
     def _told_apart(self, words: list[bytes], k: int, pairs: list[tuple[int, int]]) -> bool:
         own = words[: pairs[-1][0] + 1]
+        if len(self.words[k]) <= SHORT and any(own[i] in DENIALS for i in set(range(pairs[0][0], len(own))) - {i for i, _ in pairs}):
+            return False
         if len(self.words[k]) <= WHOLE and pairs[-1][0] - pairs[0][0] >= len(self.words[k]):
             return False
         hit = {i for i, _ in pairs}
@@ -211,7 +275,11 @@ class Scanner:
         pairs = patience(words[at : at + self.reach(k)], self.words[k])
         if len(pairs) < self.need(k) or not self._told_apart(words[at : at + self.reach(k)], k, pairs):
             return None
-        return Notice(k, at + pairs[0][0], at + pairs[-1][0] + 1, len(pairs) / len(self.words[k]))
+        start = at + pairs[0][0]
+        before = 2 + pairs[0][1]  # and as many as the template has before its first matched word
+        if len(self.words[k]) <= SHORT and DENIALS & set(words[max(0, start - before) : start]):
+            return None
+        return Notice(k, start, at + pairs[-1][0] + 1, len(pairs) / len(self.words[k]))
 
     def notices(self, text: str | None) -> list[Notice]:
         words = alnum_words(text)
@@ -219,7 +287,8 @@ class Scanner:
         get = self.numbers.get
         ids = np.fromiter((get(w, other) for w in words), np.int32, len(words))
         out: list[Notice] = []
-        for k in range(len(self.words)):
+        some = np.unique(ids)
+        for k in sorted({k for w in some[some < other].tolist() for k in self.pointers[w]}):
             count = np.concatenate([[0], np.cumsum(self.member[k][ids])])
             ends = np.minimum(np.arange(len(words)) + self.reach(k), len(words))
             starts = np.flatnonzero(count[ends] - count[:-1] >= self.need(k))
@@ -248,6 +317,8 @@ class Scanner:
         for n in sorted(found, key=lambda n: (-n.coverage * len(self.words[n.template]), n.start, n.template)):
             if all(n.stop <= o.start or n.start >= o.stop for o in kept):
                 kept.append(n)
+        heads = [n.start for n in kept if n.template not in self.reserving]
+        kept = [n for n in kept if n.template not in self.reserving or not any(0 <= h - n.stop <= LEAD for h in heads)]
         return sorted(kept, key=lambda n: n.start)
 
 
