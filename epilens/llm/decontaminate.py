@@ -8,9 +8,12 @@ searches all windows backward, locates their occurrences and merges them into
 the spans to remove. A document longer than a shard is indexed in pieces that
 overlap by the longest window less a word. Nothing is shuffled.
 
-The windows are sent to the tasks when they are at most ``block_bytes`` in
-size; a larger benchmark is dealt into blocks of that size and the documents
-are searched once per block, then the spans are merged per document.
+The windows are a table that Spark makes: distinct pairs of a window and an
+item that has it, so repeated items cost nothing and a long item is many rows.
+The pairs are dealt by hash into blocks of ``block_bytes`` (a window of very
+many items into several); each block is sent to the tasks and searched for in
+all documents. With more than one block the documents are numbered and kept
+first, and what the blocks found is merged by that number.
 
 Cases: null or empty texts have no words; an empty benchmark, or items
 without words, hit nothing; repeated items count once; an item without id
@@ -25,11 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from epilens.llm.common import ALNUM_FOLD, alnum_words, prepare, to_bytes
+from epilens.llm.common import ALNUM_FOLD, alnum_words, fresh, lean, prepare, stage, to_bytes
 from epilens.llm.fm_index import FMIndex
 
 WIDTH = 10
@@ -42,15 +45,33 @@ _PIECE_COLUMNS = ("n_words", "spans", "items")
 RESULT = (*_PIECE_COLUMNS, "n_hit", "cleaned")
 
 Windows = dict[tuple[bytes, ...], set]
+_PAIRS = "item_id long, window binary"
+_PAIR_BYTES = 100  # of a pair in the tasks, beside its words
 
 
-def item_windows(rows, width: int = WIDTH) -> Windows:
-    """Window -> ids of the items that have it, of (item_id, text) rows."""
+def window_table(items: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(item_id, window): the distinct windows of each item, their words joined
+    by a space. items: (item_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for item, text in zip(b.column(0), b.column(1)):
+                words = alnum_words(text.as_py())
+                n = max(1, len(words) - width + 1) if words else 0
+                for a in range(0, n, 1 << 14):
+                    own = list({b" ".join(words[i : i + width]) for i in range(a, min(n, a + (1 << 14)))})
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([item.as_py()] * len(own), pa.int64()), pa.array(own, pa.binary())], names=["item_id", "window"]
+                    )
+
+    return items.select("item_id", "text").mapInArrow(lean(run), _PAIRS).distinct()
+
+
+def _grouped(pairs) -> Windows:
+    """Window -> ids of the items that have it."""
     out: Windows = {}
-    for item, text in rows:
-        words = alnum_words(text)
-        for i in range(max(1, len(words) - width + 1) if words else 0):
-            out.setdefault(tuple(words[i : i + width]), set()).add(item)
+    for item, window in pairs:
+        out.setdefault(tuple(bytes(window).split(b" ")), set()).add(item)
     return out
 
 
@@ -198,7 +219,7 @@ def _search_block(docs: DataFrame, keep: list[str], text: str, windows: Windows,
         if held:
             yield flush(shard, held)
 
-    return docs.select(*[F.col(f"`{n}`") for n in dict.fromkeys([*names, text])]).mapInArrow(run, T.StructType(fields))
+    return docs.select(*[F.col(f"`{n}`") for n in dict.fromkeys([*names, text])]).mapInArrow(lean(run), T.StructType(fields))
 
 
 def find_contamination(
@@ -221,29 +242,58 @@ def find_contamination(
     prepare(docs.sparkSession)
     keep = [c for c in (keep or [doc_id]) if c.lower() not in RESULT]
     items = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("item_id"), F.col(f"`{item_text}`").alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = -(-int(size) * width // block_bytes) or 1  # a word is in up to `width` windows
+    pairs = stage(window_table(items, width), "benchmark-windows")
+    size = pairs.agg(F.coalesce(F.sum(F.length("window") + _PAIR_BYTES), F.lit(0))).first()[0]
+    blocks = -(-int(size) // block_bytes) or 1
+
+    def block(b: int) -> Windows:
+        own = F.pmod(F.xxhash64("item_id", "window"), F.lit(blocks)) == b
+        return _grouped(tuple(r) for r in pairs.where(own).collect())  # about block_bytes
+
     if blocks == 1:
-        found = _search_block(docs, keep, text, item_windows(items.collect(), width), shard_words, cleaned)
-        return _with_hits(found)
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+        return _with_hits(_search_block(docs, keep, text, block(0), shard_words, cleaned))
+    number, shown = fresh(docs, "_row"), list(dict.fromkeys([*keep, text]))
+    rows = docs.select(*[F.col(f"`{c}`") for c in shown]).withColumn(number, F.monotonically_increasing_id())
+    rows = stage(rows, "contamination-rows")  # numbered once, however often they are read
     parts = None
     for b in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        part = _search_block(rows, ["_row", *keep], text, item_windows(own, width), shard_words, False)
+        part = _search_block(rows, [number], text, block(b), shard_words, False).where((F.size("spans") > 0) | F.lit(b == 0))
         parts = part if parts is None else parts.unionByName(part)
-    merge = F.udf(lambda lists: [tuple(x) for x in merge_spans(np.array([(s.start, s.stop) for own in lists for s in own], np.int64)).tolist()], _SPANS)
-    found = parts.groupBy("_row").agg(
-        *[F.first(c).alias(c) for c in keep],
+    found = parts.groupBy(F.col(number).alias("_of")).agg(
         F.first("n_words").alias("n_words"),
-        merge(F.collect_list("spans")).alias("spans"),
+        _merged(F.flatten(F.collect_list("spans"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
+    found = rows.join(found, F.col(number) == F.col("_of"))
+    out = [F.col(f"`{c}`") for c in keep] + [F.col(c) for c in _PIECE_COLUMNS]
     if cleaned:
-        drop = F.udf(lambda t, sp: remove_spans(t, [(s.start, s.stop) for s in sp]) if sp else t, "string")
-        texts = rows.select("_row", F.col(f"`{text}`").alias("_text"))
-        found = found.join(texts, "_row").withColumn("cleaned", drop("_text", "spans")).drop("_text")
-    return _with_hits(found.drop("_row"))
+        out.append(_removed(F.col(f"`{text}`"), F.col("spans")).alias("cleaned"))
+    return _with_hits(found.select(*out))
+
+
+def _merged(lists: Column) -> Column:
+    """The union of each row's spans."""
+
+    @F.arrow_udf(_SPANS)
+    def union(lists: pa.Array) -> pa.Array:
+        out = []
+        for own in lists:
+            spans = np.array([(x["start"], x["stop"]) for x in own.as_py() or ()], np.int64).reshape(-1, 2)
+            out.append([{"start": a, "stop": b} for a, b in merge_spans(spans).tolist()])
+        return pa.array(out, _PA_SPANS)
+
+    return union(lists)
+
+
+def _removed(text: Column, spans: Column) -> Column:
+    """The text without the spans."""
+
+    @F.arrow_udf("string")
+    def remove(texts: pa.Array, lists: pa.Array) -> pa.Array:
+        rows = ((t.as_py(), own.as_py()) for t, own in zip(texts, lists))
+        return pa.array([remove_spans(t, [(x["start"], x["stop"]) for x in own]) if own else t for t, own in rows], pa.string())
+
+    return remove(text, spans)
 
 
 def _with_hits(found: DataFrame) -> DataFrame:

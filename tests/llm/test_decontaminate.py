@@ -94,3 +94,26 @@ def test_empty_tables(spark):
     d = docs(spark, [(1, "a b c")])
     assert [(r.n_words, r.n_hit) for r in D.find_contamination(d, none).collect()] == [(3, 0)]
     assert D.find_contamination(spark.createDataFrame([], DOCS), none).count() == 0
+
+
+def test_blocks_with_a_long_item_repeats_and_shuffled_rows(spark):
+    """One item is most of the benchmark, another one stands in it many times,
+    and the documents come out of a shuffle."""
+    long = text(3000, 77).split()
+    items = [(1, " ".join(long)), *[(2, text(25, 5)) for _ in range(400)], *[(100 + k, " ".join(long[40:55])) for k in range(60)], (3, "tiny item")]
+    rows = [(i, " ".join(words(20, i) + long[13 * i : 13 * i + 9 + i % 5] + words(20, 90 + i))) for i in range(80)]
+    rows += [(200, text(25, 5)), (201, "A tiny  ITEM here"), (None, " ".join(long[:30])), (200, text(25, 5)), (202, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(5)
+    shuffled = docs(spark, rows).repartition(7, "text").withColumn("_row", F.lit("mine"))
+    for block in (1 << 25, 60_000, 15_000):
+        got = D.find_contamination(shuffled, bench, block_bytes=block, cleaned=True, keep=["doc_id", "_row"]).collect()
+        assert sorted(((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in got), key=str) == brute(rows, items)
+        assert all(len(alnum_words(r.cleaned)) == r.n_words - r.n_hit and r._row == "mine" for r in got)
+
+
+def test_window_table(spark):
+    items = [(1, "a b c d"), (1, "a b c d"), (2, "A, b! C"), (3, ""), (None, "a b c")]
+    got = D.window_table(spark.createDataFrame(items, "item_id long, text string"), width=3).collect()
+    assert sorted(((r.item_id, bytes(r.window)) for r in got), key=str) == sorted(
+        [(1, b"a b c"), (1, b"b c d"), (2, b"a b c"), (None, b"a b c")], key=str
+    )
