@@ -106,13 +106,25 @@ def build_index(vectors: DataFrame, vec_id: str, vector: str, scale: int):
                                     "norm2": (x * x).sum(axis=1), "annulus": ring, "v": list(x)})
 
     def measure(frames):
-        """Partial statistics of the annuli in a batch."""
+        """Statistics of the annuli in a task: one row per annulus at most."""
+        held: dict[int, tuple[np.ndarray, ...]] = {}
         for f in frames:
-            for (dim, pivot, ring), own in f.groupby(["dim", "pivot", "annulus"]):
+            for dim, own in f.groupby("dim"):
                 x = np.array(own["v"].tolist(), float).reshape(len(own), dim)
                 d = _distances(x, sent.value.get(dim, (np.zeros((1, dim)), None))[0])
-                yield pd.DataFrame({"dim": [dim], "pivot": [pivot], "annulus": [ring], "n": [len(own)],
-                                    "norm2": [own["norm2"].max()], "near": [d.min(axis=0)], "far": [d.max(axis=0)]})
+                cells, width = d.shape[1] * ANNULI, d.shape[1]
+                if dim not in held:
+                    held[dim] = (np.zeros(cells, np.int64), np.zeros(cells), np.full((cells, width), np.inf), np.full((cells, width), -np.inf))
+                n, norm2, near, far = held[dim]
+                at = own["pivot"].to_numpy() * ANNULI + own["annulus"].to_numpy()
+                np.add.at(n, at, 1)
+                np.maximum.at(norm2, at, own["norm2"].to_numpy())
+                np.minimum.at(near, at, d)
+                np.maximum.at(far, at, d)
+        for dim, (n, norm2, near, far) in held.items():
+            at = np.flatnonzero(n)
+            yield pd.DataFrame({"dim": dim, "pivot": at // ANNULI, "annulus": at % ANNULI, "n": n[at], "norm2": norm2[at],
+                                "near": list(near[at]), "far": list(far[at])})
 
     index = stage(rows.mapInPandas(assign, _INDEXED), "vector-index")
     parts = index.mapInPandas(measure, "dim int, pivot int, annulus int, n long, norm2 double, near array<double>, far array<double>")
@@ -262,15 +274,18 @@ def _searched(vectors: DataFrame, vec_id: str, vector: str, every: int, k: int,
             yield pd.DataFrame(out, columns=["query_id", "block", "salt", "chunk", "q_dist", "q_dot", "floor", "q"])
 
     def search(block: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="Int64")]
-        if len(block) and len(asked):
-            block = block.sort_values("dist", kind="stable")
-            x = np.array(block["v"].tolist(), float).reshape(len(block), len(block["v"].iloc[0]))
-            ids, dist, norm2 = (block[c].to_numpy() for c in ("vec_id", "dist", "norm2"))
-            for i, d, dot, low, q in zip(*(asked[c] for c in ("query_id", "q_dist", "q_dot", "floor", "q"))):
-                found, scores, n = _search(x, ids, dist, norm2, np.asarray(q, float), i, d, dot, low, k)
-                out.append(pd.DataFrame({"query_id": i, "vec_id": [*found, None], "score": [*scores, n]}, dtype="Int64"))
-        return pd.concat(out)
+        found, none = [], pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="Int64")
+        if not len(block) or not len(asked):
+            return none
+        block = block.sort_values("dist", kind="stable")
+        x = np.array(block["v"].tolist(), float).reshape(len(block), len(block["v"].iloc[0]))
+        ids, dist, norm2 = (block[c].to_numpy() for c in ("vec_id", "dist", "norm2"))
+        for i, d, dot, low, q in zip(*(asked[c] for c in ("query_id", "q_dist", "q_dot", "floor", "q"))):
+            best, scores, n = _search(x, ids, dist, norm2, np.asarray(q, float), i, d, dot, low, k)
+            found.append((np.full(len(best) + 1, i), np.append(best, 0), np.append(scores, n), np.append(np.zeros(len(best), bool), True)))
+        query, best, scores, visit = (np.concatenate(c) for c in zip(*found))
+        vec_id = pd.arrays.IntegerArray(best.astype("int64"), visit)
+        return pd.DataFrame({"query_id": query.astype("int64"), "vec_id": vec_id, "score": scores.astype("int64")})
 
     def answered(asked: DataFrame) -> DataFrame:
         """Only the blocks that are visited, once per chunk that does."""
