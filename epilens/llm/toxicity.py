@@ -348,8 +348,10 @@ def train(
     trained = spark.createDataFrame(trained, own.select("_id", "_y").schema).withColumn("_seen", F.lit(True))
     logit = _logits(spark, model)(F.col("_text"))
     place = F.greatest(F.lit(-BINS // 2), F.least(F.lit(BINS // 2 - 1), F.floor(logit / BIN)))
-    marked = texts.join(own, "_id").join(F.broadcast(trained), ["_id", "_y"], "left")
-    marked = marked.select("_lang", place.cast("int").alias("_bin"), "_y", (F.col("_seen").isNotNull() & short).alias("_seen"))
+    # scored before the join, which then moves a few numbers per row and no text
+    binned = texts.select("_id", "_lang", place.cast("int").alias("_bin"), F.coalesce(short, F.lit(False)).alias("_short"))
+    marked = binned.join(own, "_id").join(F.broadcast(trained), ["_id", "_y"], "left")
+    marked = marked.select("_lang", "_bin", "_y", (F.col("_seen").isNotNull() & F.col("_short")).alias("_seen"))
     return calibrate(model, [tuple(r) for r in marked.groupBy("_lang", "_bin", "_y", "_seen").count().collect()])
 
 
