@@ -134,7 +134,8 @@ def _in_cells(rows: DataFrame, anchors: DataFrame, grid: tuple[int, int], kernel
     """``kernel(rows, anchors)`` of every cell of the grid, per vector length."""
     n_rows, n_anchors = grid
     key = ["dim", "block", "chunk"]
-    block, chunk = F.pmod(F.xxhash64("id"), F.lit(n_rows)), F.pmod(F.xxhash64("anchor"), F.lit(n_anchors))
+    # of one type on both sides: Spark deals an int and an equal long to different partitions
+    block, chunk = (F.pmod(F.xxhash64(c), F.lit(n)).cast("int") for c, n in (("id", n_rows), ("anchor", n_anchors)))
     left = rows.withColumn("block", block).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_anchors - 1))))
     right = anchors.withColumn("chunk", chunk).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))))
 

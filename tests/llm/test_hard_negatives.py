@@ -53,6 +53,22 @@ def test_equals_brute_force_in_small_cells(spark, monkeypatch):
     assert mined(spark, rows, positives=1, negatives=1) == few
 
 
+def test_cells_meet_when_partitions_are_not_merged(spark, monkeypatch):
+    monkeypatch.setattr(H, "CELL_ROWS", 40)
+    monkeypatch.setattr(H, "CELL_ANCHORS", 5)
+    r = random.Random(3)
+    rows = [(i, [r.gauss(0, 1) for _ in range(5)], r.randrange(4)) for i in range(200)]
+    conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        assert mined(spark, rows) == brute(rows, 10)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_scores_beyond_doubles(spark):
     rows = [(10 * i, [1e9 + 3 * i, 7.0 - i], i % 2) for i in range(8)]
     assert mined(spark, rows, scale=1 << 20) == brute(rows, 10, scale=1 << 20)  # all clipped to one value
